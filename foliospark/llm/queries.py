@@ -5,18 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, sharding, simhash
+from . import decontaminate, licenses, mixing, pii, quality, sharding, simhash, toxicity
 from .common import table
 
 #: Production parameters.
 MIX_WEIGHTS, MIX_SHARE, MIX_MOST = [5.0, 2.0, 1.0], 1.5, 2.0
 SHARDS = 16
+#: (folds, the one held out) by crc32 of the id as text.
+QUALITY_FOLD, TOXIC_FOLD = (4, 2), (5, 0)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality.score(docs, quality.train(docs, labels, "quality", *QUALITY_FOLD))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id"), *QUALITY_FOLD).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op3_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.train(docs, labels, "toxic", *TOXIC_FOLD))
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id"), *TOXIC_FOLD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("sentences").cast("long").alias("n_offending"), F.array_join(F.transform("sentences", lambda s: F.concat_ws(":", s["from"], s["to"])), ",").alias("offending"),
+    )
+
+
 def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SHARE, MIX_MOST)
     return m.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
@@ -27,9 +44,40 @@ def op5_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), root, sharding.grow(root, SHARDS))
 
 
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_pii_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_pivotal_mix, op5_hash_tree_shards, op10_license_scan)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_rule_quality, op3_noisy_or_toxicity, op4_pivotal_mix, op5_hash_tree_shards, op8_winnowing, op9_pii_transducer, op10_license_scan)}
+ORACLES: dict[str, str] = {
+    "op8_winnowing": r"""
+with low as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+item as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+sized as (select item_id, w, least(len(w), 10) as n from item where len(w) > 0),
+windows as (
+  select distinct item_id, n, array_to_string(w[i : i + n - 1], ' ') as win
+  from (select item_id, w, n, unnest(range(1, len(w) - n + 2)) as i from sized)),
+lengths as (select distinct n from windows),
+places as (
+  select doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') as win
+  from (select doc_id, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) as i from low, lengths)),
+hits as (select doc_id, i, p.n, item_id from places p join windows v on p.win = v.win and p.n = v.n),
+words as (select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(range(i, i + n)) as k from hits) group by doc_id),
+items as (
+  select doc_id, count(*) as n_items, sha256(string_agg(item_id, ',' order by item_id)) as items_sha256
+  from (select distinct doc_id, cast(item_id as varchar) as item_id from hits) group by doc_id)
+select l.doc_id, cast(len(l.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from low l left join words using (doc_id) left join items using (doc_id)
+""",
+}
