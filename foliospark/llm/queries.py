@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, mixing, pii, quality, sharding, simhash, toxicity
+from . import decontaminate, licenses, minhash, mixing, pii, quality, sharding, simhash, suffixes, toxicity
 from .common import table
 
 #: Production parameters.
@@ -44,6 +44,14 @@ def op5_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), root, sharding.grow(root, SHARDS))
 
 
+def op6_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(table(spark, sf_dir, "documents"), words=4)
+
+
+def op7_two_stage_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,8 +64,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_rule_quality, op3_noisy_or_toxicity, op4_pivotal_mix, op5_hash_tree_shards, op8_winnowing, op9_pii_transducer, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_rule_quality, op3_noisy_or_toxicity, op4_pivotal_mix, op5_hash_tree_shards, op6_tensored_minhash, op7_two_stage_suffixes, op8_winnowing, op9_pii_transducer, op10_license_scan)}
 ORACLES: dict[str, str] = {
+    "op6_tensored_minhash": r"""
+with recursive low as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+  select distinct doc_id, array_to_string(w[i : i + 3], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1) + 1))) as i from low)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (select a.doc_id as x, b.doc_id as y, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+links as (select x, y from common join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * c >= 80 * (p.n + q.n - c)),
+reach(doc_id, r) as (
+  select doc_id, doc_id from documents
+  union
+  select reach.doc_id, links.y from reach join links on reach.r = links.x),
+least as (select doc_id, min(r) as component_id from reach group by doc_id)
+select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id, doc_id = component_id as kept
+from least left join sizes using (doc_id)
+""",
     "op8_winnowing": r"""
 with low as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
