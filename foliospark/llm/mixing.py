@@ -26,6 +26,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def unit_key(doc_id: Column, text: Column, seed: int = 17) -> Column:
+    """What tells units apart; equal for rows of the same id and text."""
+    return F.xxhash64(F.lit(seed), doc_id.cast("long"), F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")))
+
+
 def source_targets(sizes: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
     """source, source_size -> and target. One row a source in and out.
 
@@ -60,11 +65,11 @@ def _fold(units: Column, level: int, seed: int) -> Column:
         copy = F.when(small, 0).otherwise(1)
         return F.struct(
             F.struct(stays["h"].alias("h"), rest.alias("p"), stays["doc_id"].alias("doc_id"), stays["size"].alias("size"), stays["source"].alias("source"), stays["stratum"].alias("stratum")).alias("cur"),
-            F.concat(acc["out"], F.array(F.struct(goes["doc_id"].alias("doc_id"), goes["size"].alias("size"), goes["source"].alias("source"), copy.alias("copy")))).alias("out"),
+            F.concat(acc["out"], F.array(F.struct(goes["h"].alias("h"), goes["doc_id"].alias("doc_id"), goes["size"].alias("size"), goes["source"].alias("source"), copy.alias("copy")))).alias("out"),
         )
 
-    start = F.struct(units[0].cast(UNIT).alias("cur"), F.expr("cast(array() as array<struct<doc_id:bigint,size:bigint,source:string,copy:int>>)").alias("out"))
-    kind = f"struct<cur:{UNIT},out:array<struct<doc_id:bigint,size:bigint,source:string,copy:int>>>"
+    start = F.struct(units[0].cast(UNIT).alias("cur"), F.expr("cast(array() as array<struct<h:bigint,doc_id:bigint,size:bigint,source:string,copy:int>>)").alias("out"))
+    kind = f"struct<cur:{UNIT},out:array<struct<h:bigint,doc_id:bigint,size:bigint,source:string,copy:int>>>"
     return F.aggregate(F.slice(units, 2, F.size(units)), start.cast(kind), lambda acc, x: settle(acc, x).cast(kind))
 
 
@@ -76,11 +81,11 @@ def _order(level_over_strata: bool) -> Column:
 
 
 def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (times that the mix takes the document)."""
+    """doc_id, source, size, source_size, target, copies (times that the mix takes the document), unit (unit_key of the row)."""
     rows = cut(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
-            F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"))).alias("h"),
+            unit_key(F.col("doc_id"), F.col("text"), seed).alias("h"),
         )
     )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
@@ -106,9 +111,9 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
         if over_strata:
             break
         blocks = 0 if blocks == 1 else -(-blocks // FAN_IN)
-    last = units.select("doc_id", "size", "source", F.when(uniform(F.lit(seed), F.lit("last"), "h") < F.col("p"), 1).otherwise(0).alias("copy"))
+    last = units.select("h", "doc_id", "size", "source", F.when(uniform(F.lit(seed), F.lit("last"), "h") < F.col("p"), 1).otherwise(0).alias("copy"))
     for s in settled:
         last = last.unionByName(s)
-    drawn = last.join(small, F.col("source").eqNullSafe(F.col("_s")), "left").select("doc_id", "source", "size", "source_size", "target", (F.floor(F.col("target") / F.col("source_size")) + F.col("copy")).cast("int").alias("copies"))
-    fixed = whole.where(certain).select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") == 0, 0).otherwise(F.col("_base")).alias("copies"))
+    drawn = last.join(small, F.col("source").eqNullSafe(F.col("_s")), "left").select("doc_id", "source", "size", "source_size", "target", (F.floor(F.col("target") / F.col("source_size")) + F.col("copy")).cast("int").alias("copies"), F.col("h").alias("unit"))
+    fixed = whole.where(certain).select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") == 0, 0).otherwise(F.col("_base")).alias("copies"), F.col("h").alias("unit"))
     return drawn.unionByName(fixed)
