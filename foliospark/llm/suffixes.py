@@ -6,8 +6,9 @@ Dealing. Every SPAN-byte window is owned by its anchor, the last least one of it
 places. Windows of one anchor are neighbours, and the text from the first to the end of the last is the anchor's context. So windows that may be
 equal meet by their anchor's hash, at about 1.2 anchors for 100 bytes.
 
-Settling. Anchors that occur once drop out. Contexts that occur twice or more are repeated as a whole. Where one anchor has several distinct
-contexts, these are suffix-sorted together: suffixes smaller than their successor are sorted directly, the rest is induced by scans over the
+Settling. Anchors that occur once drop out. Contexts that occur twice or more are repeated as a whole. A window has SIDE or more bytes
+of its own on one side of its anchor, so a context can only share windows with others of the same anchor that agree with it on the SIDE bytes to the
+left or on those to the right. Such contexts of one anchor are suffix-sorted together: suffixes smaller than their successor are sorted directly, the rest is induced by scans over the
 first-byte buckets, and neighbours in the order whose common prefix reaches SPAN are repeated. Only windows that a context owns count.
 Anchors with over HOT distinct contexts are settled by grouping window hashes instead, so that no task holds them all.
 
@@ -28,6 +29,7 @@ from .common import cut, shuffle_partitions
 from .kernels import _BYTE, BLOCK, U, mix
 
 SPAN, GRAM = 200, 32
+SIDE = (SPAN - GRAM) // 2
 HOT = 20_000
 CHUNK = 1 << 20
 _C = np.random.default_rng(77).integers(0, 2**63, 8, dtype=np.uint64) * U(2) + U(1)
@@ -51,37 +53,49 @@ def sliding_least(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(tail[: n - w + 1], head[w - 1 :])
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of all anchors of the texts: text's index, first owned window (in the text), number of owned windows, anchor's hash, context's hash."""
+def _hash_of(h: np.ndarray, lo: np.ndarray, end: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Hash of the bytes lo..end (GRAM or more) from the gram hashes that cover them."""
+    out = seed.copy()
+    for k in range(0, int((end - lo).max(initial=0)), GRAM):
+        live = np.flatnonzero(lo + k < end)
+        out[live] = mix(out[live] * _C[6] + h[np.minimum(lo[live] + k, end[live] - GRAM)])
+    return out
+
+
+def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
+    """All anchors of the texts: d (text's index), lo (first owned window in the text), n (owned windows), fp (anchor's hash), ctx (context's hash),
+    sides (32-bit hashes of the SIDE bytes left and right of the anchor; 0 where the context has fewer)."""
+    names = ("d", "lo", "n", "fp", "ctx", "sides")
     x = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     first = np.cumsum(sizes) - sizes
-    none = np.zeros(0, np.int64)
-    if len(x) < SPAN:
-        return none, none, none, none, none
+    windows = np.maximum(sizes - SPAN + 1, 0)
+    if not windows.sum():
+        return dict.fromkeys(names, np.zeros(0, np.int64))
     h = gram_hashes(x)
     bits = U(max(20, len(x).bit_length()))
     room = (U(1) << bits) - U(1)
     keyed = ((h >> bits) << bits) | (room - np.arange(len(h), dtype=np.uint64))
     at = (room - (sliding_least(keyed, SPAN - GRAM + 1) & room)).astype(np.int64)  # the anchor of each window
-    doc = np.repeat(np.arange(len(texts)), np.maximum(sizes - SPAN + 1, 0))
-    start = np.arange(len(doc)) - np.repeat(np.cumsum(np.maximum(sizes - SPAN + 1, 0)) - np.maximum(sizes - SPAN + 1, 0), np.maximum(sizes - SPAN + 1, 0)) + first[doc]
-    if not len(start):
-        return none, none, none, none, none
+    doc = np.repeat(np.arange(len(texts)), windows)
+    start = np.arange(len(doc)) + np.repeat(first - (np.cumsum(windows) - windows), windows)
     own = at[start]
     new = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])])
-    lo, n = start[new], np.diff(np.r_[new, len(start)])
-    fp = h[own[new]]
+    p, lo, n = own[new], start[new], np.diff(np.r_[new, len(start)])
     end = lo + n + SPAN - 1  # of the context
-    ctx = mix((own[new] - lo).astype(np.uint64) * _C[5] + (end - lo).astype(np.uint64))
-    for k in range(0, int((end - lo).max()), GRAM):
-        live = np.flatnonzero(lo + k < end)
-        ctx[live] = mix(ctx[live] * _C[6] + h[np.minimum(lo[live] + k, end[live] - GRAM)])
+    ctx = _hash_of(h, lo, end, mix((p - lo).astype(np.uint64) * _C[5] + (end - lo).astype(np.uint64)))
+    sides = []
+    for a, b, ok in ((p - SIDE, p, p - SIDE >= lo), (p + GRAM, p + GRAM + SIDE, p + GRAM + SIDE <= end)):
+        v = np.zeros(len(p), U)
+        v[ok] = (_hash_of(h, a[ok], b[ok], np.zeros(int(ok.sum()), U)) >> U(32)) | U(1)
+        sides.append(v)
     d = doc[new]
-    return d, lo - first[d], n, fp.view(np.int64), ctx.view(np.int64)
+    return dict(zip(names, (d, lo - first[d], n, h[p].view(np.int64), ctx.view(np.int64), (sides[0] << U(32) | sides[1]).view(np.int64)), strict=True))
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each distinct context of an anchor in a text. spans: where it stands, if more than once."""
+    spans_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
     for batch in batches:
         t1, t2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         texts = batch.column(2).to_pylist()
@@ -91,8 +105,24 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while b < len(texts) and (b == a or total + len(texts[b]) <= BLOCK):
                 total += len(texts[b])
                 b += 1
-            d, lo, n, fp, ctx = anchors(texts[a:b])
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (t1[a:b][d], t2[a:b][d], lo.astype(np.int32), n.astype(np.int32), fp, ctx)], ["t1", "t2", "lo", "n", "fp", "ctx"])
+            f = anchors(texts[a:b])
+            d, lo, n = f["d"], f["lo"], f["n"]
+            key = mix(f["fp"].view(np.uint64) * _C[7] + f["ctx"].view(np.uint64)) + mix(d.astype(np.uint64))
+            _, at, back, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            spans: list[list | None] = [None] * len(at)
+            often = np.flatnonzero(times[back] > 1)
+            for i in often[np.lexsort((lo[often], back[often]))].tolist():
+                g, x, y = int(back[i]), int(lo[i]), int(lo[i] + n[i] + SPAN - 1)
+                own = spans[g]
+                if own is None:
+                    spans[g] = [[x, y]]
+                elif x <= own[-1][1]:
+                    own[-1][1] = y
+                else:
+                    own.append([x, y])
+            cols = [t1[a:b][d[at]], t2[a:b][d[at]], lo[at].astype(np.int32), n[at].astype(np.int32), f["fp"][at], f["ctx"][at], f["sides"][at]]
+            listed = pa.array([None if s is None else [{"a": x, "b": y} for x, y in s] for s in spans], spans_type)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), listed], ["t1", "t2", "lo", "n", "fp", "ctx", "sides", "spans"])
             a = b
 
 
@@ -296,12 +326,18 @@ def repeated_spans(texts: DataFrame, broadcast_keys: int = 1_000_000, hot: int =
     """texts: t1, t2 (a text's key), data (bytes). Returns t1, t2, spans (array of a, b: bytes to remove) of the texts that lose any."""
     spark = texts.sparkSession
     long = texts.where(F.octet_length("data") >= SPAN)
-    rows = long.select("t1", "t2", "data").mapInArrow(_anchor_rows, "t1 long, t2 long, lo int, n int, fp long, ctx long")
+    rows = long.select("t1", "t2", "data").mapInArrow(_anchor_rows, "t1 long, t2 long, lo int, n int, fp long, ctx long, sides long, spans array<struct<a:int,b:int>>")
     place = F.xxhash64("t1", "t2", "lo")
-    met = rows.groupBy("fp").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.min("ctx").alias("c"), F.max("ctx").alias("d")).where("p <> q").select("fp", (F.col("c") != F.col("d")).alias("several"))
+    often = F.max(F.col("spans").isNotNull())
+    met = rows.groupBy("fp").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.min("ctx").alias("c"), F.max("ctx").alias("d"), often.alias("o")).where("p <> q or o").select("fp", (F.col("c") != F.col("d")).alias("several"))
     found = cut(rows.join(met, "fp"))  # copies of a text give equal rows
-    kinds = cut(found.groupBy("fp", "ctx").agg(F.max("several").alias("several"), (F.min(place) != F.max(place)).alias("whole"), F.min(F.struct("t1", "t2", "lo", "n")).alias("at")))
-    open_ = kinds.where("several").select("fp", "ctx", "whole", "at.*")
+    kinds = cut(found.groupBy("fp", "ctx").agg(F.max("several").alias("several"), F.max("sides").alias("sides"), ((F.min(place) != F.max(place)) | often).alias("whole"), F.min(F.struct("t1", "t2", "lo", "n")).alias("at")))
+    several = kinds.where("several")
+    left, right = F.shiftrightunsigned("sides", 32), F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF))
+    agree = [several.select("fp", side.alias("_s")).where("_s <> 0").groupBy("fp", "_s").agg(F.count("*").alias("_k")).where("_k > 1").select("fp", "_s", F.lit(i).alias("_i")) for i, side in enumerate((left, right))]
+    both = F.explode(F.array(F.struct(left.alias("_s"), F.lit(0).alias("_i")), F.struct(right.alias("_s"), F.lit(1).alias("_i"))))
+    meeting = several.select("fp", "ctx", both.alias("_b")).select("fp", "ctx", "_b.*").join(agree[0].unionByName(agree[1]), ["fp", "_s", "_i"]).select("fp", "ctx").distinct()
+    open_ = several.join(meeting, ["fp", "ctx"], "left_semi").select("fp", "ctx", "whole", "at.*")
     many = open_.groupBy("fp").agg(F.count("*").alias("k"))
     open_ = cut(open_.join(many, "fp"))
 
@@ -326,7 +362,8 @@ def repeated_spans(texts: DataFrame, broadcast_keys: int = 1_000_000, hot: int =
         alone = open_.where(~F.col("whole")).select("fp", "ctx", "t1", "t2", "lo")
         spans.append(marks.join(alone, ["fp", "ctx"]).select("t1", "t2", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b") + SPAN).alias("b")))
     whole = kinds.where("whole").select("fp", "ctx")
-    spans.append(found.join(whole, ["fp", "ctx"]).select("t1", "t2", F.col("lo").alias("a"), (F.col("lo") + F.col("n") + SPAN - 1).alias("b")).distinct())
+    once = F.array(F.struct(F.col("lo").alias("a"), (F.col("lo") + F.col("n") + SPAN - 1).alias("b")))
+    spans.append(found.join(whole, ["fp", "ctx"]).select("t1", "t2", F.inline(F.coalesce("spans", once))).distinct())
     out = spans[0]
     for s in spans[1:]:
         out = out.unionByName(s)
