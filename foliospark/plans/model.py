@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, chunk, layout, manifest, quality, structure
 from ..sources import views
+from ..sources.stage import stage
 
 Step = Callable[..., DataFrame]
 
@@ -30,7 +31,10 @@ class Steps:
 
 @dataclass
 class Model:
-    """blocks, tables, images: content with coordinates by document_id and page_number. Everything else follows, lazily."""
+    """blocks, tables, images: content with coordinates by document_id and page_number. Everything else follows on first use.
+
+    Regions, chapters, sections and chunks are stages: each is computed once, and what follows reads it.
+    """
 
     blocks: DataFrame
     tables: DataFrame
@@ -44,7 +48,7 @@ class Model:
 
     @cached_property
     def pages(self) -> DataFrame:
-        return self.blocks.select("document_id", "page_number").distinct()
+        return stage(self.blocks.select("document_id", "page_number").distinct())
 
     @cached_property
     def regions(self) -> DataFrame:
@@ -52,19 +56,19 @@ class Model:
 
     @cached_property
     def ordered(self) -> DataFrame:
-        return self.steps.normalize(self.steps.order(self.regions))
+        return stage(self.steps.normalize(self.steps.order(self.regions)))
 
     @cached_property
     def chapters(self) -> DataFrame:
-        return self.steps.chapters(self.ordered, self.pages)
+        return stage(self.steps.chapters(self.ordered, self.pages))
 
     @cached_property
     def sections(self) -> DataFrame:
-        return self.steps.sections(self.ordered, self.chapters, self.pages)
+        return stage(self.steps.sections(self.ordered, self.chapters, self.pages))
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return self.steps.chunks(self.ordered, self.pages, self.chapters, self.sections, *self.chunk_tokens)
+        return stage(self.steps.chunks(self.ordered, self.pages, self.chapters, self.sections, *self.chunk_tokens))
 
     @cached_property
     def manifest(self) -> DataFrame:
@@ -75,21 +79,38 @@ class Model:
         return self.steps.audit(self.pages, self.pages, self.ordered, self.chapters, self.sections, self.chunks)
 
 
-def with_defects(m: Model) -> Model:
+class Damaged(Model):
     """The model with planted structural errors, for the audit."""
-    out = Model(m.blocks, m.tables, m.images, m.steps)
-    out.__dict__["pages"] = m.pages
-    ro = F.when(F.col("region_no") % 29 == 0, 1).otherwise(F.col("reading_order")).cast("long")
-    out.__dict__["ordered"] = m.ordered.where("page_number % 3 <> 0 or type <> 'HEADING'").withColumn("reading_order", ro)
-    no = F.col("chapter_no")
-    out.__dict__["chapters"] = m.chapters.withColumns({"number": F.when(no % 7 == 0, F.col("number") - 1).when(no % 5 == 0, F.col("number") + 5).otherwise(F.col("number")), "page_end": F.when(no % 9 == 0, F.col("page_start") - 1).otherwise(F.col("page_end"))})
-    i = F.row_number().over(Window.partitionBy("document_id").orderBy("chapter_id", "section_no"))
-    s = m.sections.withColumn("_i", i)
-    out.__dict__["sections"] = s.select("document_id", "chapter_id", "section_no", F.when(F.col("_i") % 6 == 0, "dup").otherwise(F.col("section_id")).alias("section_id"), "title", (F.col("page_start") - F.when(F.col("_i") % 4 == 0, 1).otherwise(0)).alias("page_start"), (F.col("page_end") + F.when(F.col("_i") % 5 == 0, 4).otherwise(0)).alias("page_end"))
-    c = m.chunks.withColumn("_i", F.row_number().over(Window.partitionBy("document_id").orderBy("chapter_id", "chunk_no")))
-    ch = F.when(F.col("_i") % 11 == 0, F.lit(None).cast("string")).when(F.col("_i") % 13 == 0, "ch_999").otherwise(F.col("chapter_id"))
-    out.__dict__["chunks"] = c.select("document_id", ch.alias("chapter_id"), "chunk_no", "chunk_id", "section_id", "page_start", (F.col("page_end") + F.when(F.col("_i") % 5 == 0, 7).otherwise(0)).alias("page_end"), "source_regions", (F.col("token_count") % 97).alias("token_count"), "text")
-    return out
+
+    @cached_property
+    def _sound(self) -> Model:
+        return Model(self.blocks, self.tables, self.images, self.steps, self.chunk_tokens)
+
+    @cached_property
+    def ordered(self) -> DataFrame:
+        ro = F.when(F.col("region_no") % 29 == 0, 1).otherwise(F.col("reading_order")).cast("long")
+        return self._sound.ordered.where("page_number % 3 <> 0 or type <> 'HEADING'").withColumn("reading_order", ro)
+
+    @cached_property
+    def chapters(self) -> DataFrame:
+        no = F.col("chapter_no")
+        number = F.when(no % 7 == 0, F.col("number") - 1).when(no % 5 == 0, F.col("number") + 5).otherwise(F.col("number"))
+        return self._sound.chapters.withColumns({"number": number, "page_end": F.when(no % 9 == 0, F.col("page_start") - 1).otherwise(F.col("page_end"))})
+
+    @cached_property
+    def sections(self) -> DataFrame:
+        i = F.row_number().over(Window.partitionBy("document_id").orderBy("chapter_id", "section_no"))
+        s = self._sound.sections.withColumn("_i", i)
+        return s.select(
+            "document_id", "chapter_id", "section_no", F.when(F.col("_i") % 6 == 0, "dup").otherwise(F.col("section_id")).alias("section_id"), "title",
+            (F.col("page_start") - F.when(F.col("_i") % 4 == 0, 1).otherwise(0)).alias("page_start"), (F.col("page_end") + F.when(F.col("_i") % 5 == 0, 4).otherwise(0)).alias("page_end"),
+        )
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        c = self._sound.chunks.withColumn("_i", F.row_number().over(Window.partitionBy("document_id").orderBy("chapter_id", "chunk_no")))
+        ch = F.when(F.col("_i") % 11 == 0, F.lit(None).cast("string")).when(F.col("_i") % 13 == 0, "ch_999").otherwise(F.col("chapter_id"))
+        return c.select("document_id", ch.alias("chapter_id"), "chunk_no", "chunk_id", "section_id", "page_start", (F.col("page_end") + F.when(F.col("_i") % 5 == 0, 7).otherwise(0)).alias("page_end"), "source_regions", (F.col("token_count") % 97).alias("token_count"), "text")
 
 
 def profile_books(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ _ROMAN = "case c when 'i' then 1 when 'v' then 5 when 'x' then 10 when 'l' then
 def _roman(s: str) -> str:
     vals = f"list_transform(string_split(lower(trim({s})), ''), lambda c: {_ROMAN})"
     total = f"list_sum(list_transform(range(1, len({vals}) + 1), lambda i: case when {vals}[i] >= coalesce({vals}[i + 1], 0) then {vals}[i] else -{vals}[i] end))"
-    return f"(case when regexp_full_match(trim({s}), '\\d+') then cast(trim({s}) as bigint) when {total} > 0 then {total} else 1 end)"
+    return f"cast(case when regexp_full_match(trim({s}), '\\d+') then cast(trim({s}) as bigint) when {total} > 0 then {total} else 1 end as bigint)"
 
 
 def _q(pattern: str) -> str:
@@ -314,7 +314,7 @@ select document_id, page_number, cast(line_no as bigint) as line_no, string_agg(
 from words_ join lineno_ using (document_id, page_number, word_ordinal) group by all""",
     "approx_word_boxes": """
 select document_id, page_number, ord, i, word, round(x0 + unit * before, 2) as x0, round(x0 + unit * (before + length(word)), 2) as x1, y0, y1
-from (select *, (x1 - x0) / greatest(1, length(text)) as unit, coalesce(sum(length(word) + 1) over (partition by document_id, page_number, ord order by i rows between unbounded preceding and 1 preceding), 0) as before
+from (select *, 6.0::double as unit, coalesce(sum(length(word) + 1) over (partition by document_id, page_number, ord order by i rows between unbounded preceding and 1 preceding), 0) as before
   from (select *, unnest(regexp_split_to_array(trim(text), '\\s+')) as word, generate_subscripts(regexp_split_to_array(trim(text), '\\s+'), 1) - 1 as i from blocks_ where ord between 0 and 999)) where word <> ''""",
     "scale_bbox": "select document_id, page_number, ord, round(x0 * (612.0::double / 1275.0), 2) as x0, round(y0 * (792.0::double / 1650.0), 2) as y0, round(x1 * (612.0::double / 1275.0), 2) as x1, round(y1 * (792.0::double / 1650.0), 2) as y1, round((y1 - y0) * (792.0::double / 1650.0) * 0.75, 2) as font_size from blocks_",
     "line_box_filter": """

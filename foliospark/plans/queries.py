@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry, text
 from ..operators import audit, chunk, layout, manifest, quality, recognition, structure
 from ..sources import files, views
-from .model import Model, with_defects
+from .model import Damaged, Model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 P = ["document_id", "page_number"]
@@ -31,7 +31,7 @@ def over_model(f: Callable[[Model], DataFrame]) -> Callable:
 
 def over_defects(f: Callable[[Model], DataFrame]) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return f(with_defects(Model.of(spark, sf_dir)))
+        return f(Damaged.of(spark, sf_dir))
 
     QUERIES[f.__name__] = run
     return f
@@ -133,7 +133,7 @@ def block_agg(spark, sf_dir):
 
 @query
 def approx_word_boxes(spark, sf_dir):
-    return layout.word_boxes(views.blocks(spark, sf_dir).where("ord between 0 and 999"))
+    return layout.word_boxes(views.blocks(spark, sf_dir).where("ord between 0 and 999").withColumn("x1", F.col("x0") + 6.0 * F.length("text")))
 
 
 @query

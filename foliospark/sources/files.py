@@ -6,8 +6,11 @@ import json
 from collections.abc import Callable, Iterator
 from posixpath import normpath
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 PAGE = "page_id string, document_id string, page_number bigint, width double, height double, regions array<struct<region_id:string,type:string,text:string,bbox:array<double>,reading_order:bigint,confidence:double>>"
 MAX_BYTES = 250 << 20
@@ -109,20 +112,19 @@ def synthetic_lines(spark: SparkSession, corpus: list[str], n: int, seed: int =
 def parse_documents(files: DataFrame, parser: Callable[[bytes], list[dict]], schema: str) -> DataFrame:
     """Pages of binary files through a pluggable parser; a file that fails gives one row with its error."""
 
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+    full = f"path string, error string, {schema}"
+    types = to_arrow_schema(_parse_datatype_string(full))
 
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    rows = [{**r, "path": path, "error": None} for r in parser(bytes(content))]
+                    rows = [{**r, "path": path, "error": None} for r in parser(content)]
                 except Exception as e:  # noqa: BLE001  one bad file must not stop the rest
                     rows = [{"path": path, "error": str(e)}]
-                yield pd.DataFrame(rows).reindex(columns=names)
+                yield pa.RecordBatch.from_pylist(rows, schema=types)
 
-    full = f"path string, error string, {schema}"
-    names = files.sparkSession.createDataFrame([], full).columns
-    return files.select("path", "content").mapInPandas(run, full)
+    return files.select("path", "content").mapInArrow(run, full)
 
 
 # Sinks. Spark's commit protocol makes each write whole or absent.
