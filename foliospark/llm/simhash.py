@@ -23,9 +23,9 @@ PAIR_MASK = (1 << 32) | 1
 
 
 def terms(text: Column) -> Column:
-    """Array of struct(0: word before, 1: word)."""
+    """Array of struct(b: word, a: the word before it)."""
     words = F.split(text, SPACE)
-    return F.arrays_zip(words.alias("b"), F.concat(F.array(F.lit("")), F.slice(words, 1, F.size(words))).alias("a"))
+    return F.arrays_zip(words.alias("b"), F.concat(F.array(F.lit("")), F.slice(words, 1, F.size(words) - 1)).alias("a"))
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
