@@ -74,3 +74,10 @@ def table_text(data: Column) -> Column:
     rows = F.transform(F.filter(data, lambda r: F.size(r) > 0), lambda r: F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), " | "))
     joined = F.array_join(rows, "\n")
     return F.when(joined != "", joined).otherwise("[Table]")
+
+
+def starts(toks: Column) -> Column:
+    """For each token its first character's place in the tokens joined by one space."""
+    start = F.expr("cast(named_struct('at', 0, 'out', cast(array() as array<int>)) as struct<at:int,out:array<int>>)")
+    step = lambda acc, t: F.struct((acc["at"] + F.length(t) + 1).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    return F.aggregate(toks, start, step)["out"]

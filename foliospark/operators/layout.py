@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import clamp_box
-from ..functions.text import CAPTION, EQUATION, PAGE_NUMBER, table_text
+from ..functions.text import CAPTION, EQUATION, PAGE_NUMBER, starts, table_text
 
 PAGE = ["document_id", "page_number"]
 FURNITURE = ("HEADER", "FOOTER", "PAGE_NUMBER")
@@ -128,9 +128,10 @@ def normalize(regions: DataFrame, width: float = 612.0, height: float = 792.0, s
 def word_boxes(lines: DataFrame) -> DataFrame:
     """Approximate boxes of a line's words: the line's width shared by character, one for each space."""
     toks = F.split(F.trim("text"), r"\s+")
-    w = lines.select(*PAGE, "ord", "x0", "x1", "y0", "y1", "text", toks.alias("toks"), F.posexplode(toks).alias("i", "word"))
     unit = (F.col("x1") - F.col("x0")) / F.greatest(F.lit(1), F.length("text"))
-    at = F.aggregate(F.slice("toks", 1, F.col("i")), F.lit(0), lambda a, t: a + F.length(t) + 1)
+    w = lines.select(*PAGE, "ord", "x0", "y0", "y1", unit.alias("unit"), toks.alias("word"))
+    w = w.select(*PAGE, "ord", "x0", "y0", "y1", "unit", F.posexplode(F.arrays_zip("word", starts(F.col("word")).alias("at"))).alias("i", "w")).select(*PAGE, "ord", "x0", "y0", "y1", "unit", "i", "w.*")
+    unit, at = F.col("unit"), F.col("at")
     return w.where("word <> ''").select(*PAGE, "ord", F.col("i").cast("long").alias("i"), "word", F.round(F.col("x0") + unit * at, 2).alias("x0"), F.round(F.col("x0") + unit * (at + F.length("word")), 2).alias("x1"), "y0", "y1")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry, text
 from ..operators import audit, chunk, layout, manifest, quality, recognition, structure
 from ..sources import files, views
+from ..sources.stage import shared_folder
 from .model import Damaged, Model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,7 +64,7 @@ def scan_page_range(spark, sf_dir):
 
 @query
 def scan_line_manifest(spark, sf_dir):
-    v = F.when(F.col("item_id") % 5 == 0, F.lit("# note")).when(F.col("item_id") % 7 == 0, "").when(F.col("item_id") % 3 == 0, F.concat(F.lit("img_"), F.col("item_id").cast("string"))).otherwise(F.concat(F.lit("img_"), F.col("item_id").cast("string"), F.lit("\t"), F.substring("text", 1, 20), F.lit("\t"), F.lit("x")))
+    v = F.when(F.col("item_id") % 5 == 0, F.lit("# note")).when(F.col("item_id") % 7 == 0, "").when(F.col("item_id") % 3 == 0, F.concat(F.lit("img_"), F.col("item_id").cast("string"))).otherwise(F.concat(F.lit("img_"), F.col("item_id").cast("string"), F.lit("\t"), F.regexp_replace("text", r"\s+", " "), F.lit("\t"), F.lit("x")))
     return files.parse_manifest(views.read(spark, sf_dir, "benchmark").select(v.alias("value")), "/data")
 
 
@@ -246,7 +248,7 @@ def chapter_match_explicit(m):
 
 @query
 def chapter_match_numbered(spark, sf_dir):
-    ls = views.page_lines(spark, sf_dir).where("kk < 4").select(*P, F.col("kk").alias("reading_order"), F.lit(0).alias("line_no"), F.lit("HEADING").alias("type"), F.concat((F.col("doc_id") % 120).cast("string"), F.lit(" "), F.substring("line", 1, 20)).alias("line"))
+    ls = views.page_lines(spark, sf_dir).select(*P, F.col("kk").alias("reading_order"), F.lit(0).alias("line_no"), F.lit("HEADING").alias("type"), F.concat((F.col("doc_id") % 120).cast("string"), F.lit(" "), F.col("line")).alias("line"))
     return structure.numbered_chapters(ls).select(*P, "reading_order", "number", "title")
 
 
@@ -528,12 +530,11 @@ def mean_confidence(spark, sf_dir):
 @query
 def vocab_encode(spark, sf_dir):
     b = views.read(spark, sf_dir, "benchmark")
-    return b.select("item_id", F.array_join(F.transform(recognition.encode(F.substring("text", 1, 30)), lambda i: i.cast("string")), ",").alias("codes"))
+    return b.select("item_id", F.array_join(F.transform(recognition.encode(F.col("text")), lambda i: i.cast("string")), ",").alias("codes"))
 
 
 def _epochs(spark, sf_dir):
-    e = views.read(spark, sf_dir, "events").where("event_id < 800")
-    return e.select((F.col("event_id") % 4).alias("run"), F.floor(F.col("event_id") / 4).cast("long").alias("epoch"), F.round(F.lit(3.0) / (F.col("event_id") + 1), 4).alias("loss"), ((F.col("event_id") * 7919 % 1000 + 20) / 1000.0).alias("cer"), ((F.col("event_id") * 104729 % 1000) / 1000.0).alias("wer"))
+    return views.read(spark, sf_dir, "events").select((F.col("event_id") % 4).alias("run"), F.floor(F.col("event_id") / 4).cast("long").alias("epoch"), F.round(F.lit(3.0) / (F.col("event_id") + 1), 4).alias("loss"), ((F.col("event_id") * 7919 % 1000 + 20) / 1000.0).alias("cer"), ((F.col("event_id") * 104729 % 1000) / 1000.0).alias("wer"))
 
 
 @query
@@ -577,3 +578,77 @@ def html_regions(spark, sf_dir):
     r = h.select("page_id", F.posexplode(F.arrays_zip(F.regexp_extract_all("html", F.lit(tag), 1).alias("tag"), F.regexp_extract_all("html", F.lit(tag), 2).alias("body"))).alias("i", "x"))
     kind = F.when(F.lower("x.tag") == "h1", "HEADING").when(F.lower("x.tag") == "p", "BODY").otherwise("HEADER")
     return r.groupBy("page_id", kind.alias("type")).agg(F.count("*").alias("regions"), F.sum(F.length(F.col("x.body"))).alias("chars"))
+
+
+@query
+def valid_bbox(spark, sf_dir):
+    b = views.blocks(spark, sf_dir).select(*P, "ord", geometry.valid_box(F.array(F.col("x0") - 100, F.col("y0") - 50.5551, F.col("x1") - 300, F.col("y1"))).alias("b"))
+    return b.select(*P, "ord", *[F.col("b")[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
+
+
+@query
+def batch_width(spark, sf_dir):
+    """Width of each batch of 8 lines: the widest, to a multiple of 4."""
+    d = views.read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 8).cast("long").alias("batch"), geometry.line_width(F.col("n_chars"), F.col("doc_id") % 50).alias("w"))
+    return d.groupBy("batch").agg((F.ceil(F.max("w") / 4) * 4).cast("long").alias("width"))
+
+
+# Sinks: written below the shared folder and read back
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/sinks-{uuid.uuid4().hex}"
+
+
+@over_model
+def sink_pages(m):
+    at = _folder(m.blocks.sparkSession)
+    files.write_pages(m.ordered, at)
+    p = files.read_pages(m.blocks.sparkSession, at)
+    return p.select(*P, "page_id", F.size("regions").cast("long").alias("regions"), F.get("regions", F.lit(0))["text"].alias("first_text"))
+
+
+@over_model
+def scan_pages_json(m):
+    at = _folder(m.blocks.sparkSession)
+    files.write_pages(m.ordered, at)
+    p = files.read_pages(m.blocks.sparkSession, at)
+    return p.where("page_id is not null").select(*P, F.explode("regions").alias("r")).select(*P, "r.region_id", "r.type", "r.reading_order")
+
+
+@over_model
+def sink_chapters(m):
+    at = _folder(m.blocks.sparkSession)
+    files.write_json(m.chapters, at, ["document_id"])
+    return m.blocks.sparkSession.read.schema(m.chapters.schema).json(at).select("document_id", "chapter_id", "title", "page_start", "page_end")
+
+
+@over_model
+def sink_chunks_jsonl(m):
+    at = _folder(m.blocks.sparkSession)
+    files.write_json(m.chunks, at, ["document_id", "chapter_id"])
+    c = m.blocks.sparkSession.read.schema(m.chunks.schema).json(at)
+    return c.select("document_id", "chapter_id", "chunk_id", "token_count", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
+@query
+def sink_errors(spark, sf_dir):
+    at, j = _folder(spark), views.jobs(spark, sf_dir).where("status = 'failed'").select("document_id", "event_id", F.lit("ocr").alias("stage"))
+    files.append_errors(j.where("event_id % 2 = 0"), at)
+    files.append_errors(j.where("event_id % 2 = 1"), at)
+    return spark.read.schema("document_id string, event_id bigint, stage string").json(at)
+
+
+@query
+def sink_json_entity(spark, sf_dir):
+    at, p = _folder(spark), quality.profile(_quality(spark, sf_dir))
+    files.write_json(p, at)
+    return spark.read.schema(p.schema).json(at)
+
+
+@query
+def list_keys(spark, sf_dir):
+    at = _folder(spark)
+    views.read(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("value")).coalesce(1).write.partitionBy("source").text(at)
+    k = files.list_keys(spark, at).where("key like 'source=%'")
+    return k.select(F.regexp_extract("key", "^source=([^/]+)/", 1).alias("source")).groupBy("source").agg(F.count("*").alias("files"))
