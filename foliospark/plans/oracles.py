@@ -277,6 +277,12 @@ select d.document_id, h.score as heading_hierarchy, c.score as chapter_numbering
   u.duplicate_rate as duplicate_heading_rate, e.empty_rate as empty_chapter_rate, x.rate as cross_boundary_section_rate, a.score as chunk_alignment
 from docs_ d join vheading_ h using (document_id) join vchapter_ c using (document_id) join vsection_ s using (document_id) join vparent_ p using (document_id) join vbound_ b using (document_id)
 join vread_ r using (document_id) join vdup_ u using (document_id) join vempty_ e using (document_id) join vcross_ x using (document_id) join valign_ a using (document_id)""",
+    "recs_": """
+select document_id, unnest(r) as recommendation, generate_subscripts(r, 1) - 1 as position
+from (select document_id, case when len(r) > 0 then r else ['Document structure is internally consistent and verified.'] end as r
+  from (select document_id, list_filter([case when parent_child_integrity < 0.9 then 'Review orphan chunks or sections that lack valid chapter association.' end,
+    case when cross_boundary_section_rate > 0.05 then 'Check chapter boundary heuristics as multiple sections extend past their parent chapter.' end,
+    case when empty_chapter_rate > 0.2 then 'Multiple empty chapters detected; verify if title/preface pages were classified as chapters.' end], lambda x: x is not null) as r from metrics_))""",
     "jobs_": """
 select cast(user_id as varchar) as document_id, ts, event_id, case when event_type = 'signup' then 'queued' when event_type in ('view', 'click') then 'processing' when event_type = 'purchase' then 'completed' else 'failed' end as status, event_id % 50 as pages_processed
 from events""",
@@ -289,8 +295,6 @@ select vec_id // 16 as sample, vec_id % 16 as t, list_position(embedding, list_m
 select event_id % 4 as run, event_id // 4 as epoch, round(3.0::double / (event_id + 1), 4) as loss, ((event_id * 7919 % 1000 + 20) / 1000.0)::double as cer, ((event_id * 104729 % 1000) / 1000.0)::double as wer from events""",
 }
 
-_MD = "printf('- **{0}**: %.2f', {1}::double)"
-
 MAIN: dict[str, str] = {
     "scan_documents": "select document_id, page_number, doc_id, sheet, 612.0::double as width, 792.0::double as height, length(raw_text) as chars from vpages_",
     "content_hash_id": "select doc_id, sha256(text) as sha256, 'doc_' || substr(sha256(text), 1, 16) as content_id from documents",
@@ -385,12 +389,14 @@ where regexp_matches(line, {_q(NUMBERED)}) and not starts_with(lower(line), 'sec
     "audit_cross_boundary": "select * from vcross_",
     "audit_chunk_alignment": "select * from valign_",
     "audit_metrics": "select * from metrics_",
-    "audit_recommendations": """
-select document_id, unnest(r) as recommendation, generate_subscripts(r, 1) - 1 as position
-from (select document_id, case when len(r) > 0 then r else ['Document structure is internally consistent and verified.'] end as r
-  from (select document_id, list_filter([case when parent_child_integrity < 0.9 then 'Review orphan chunks or sections that lack valid chapter association.' end,
-    case when cross_boundary_section_rate > 0.05 then 'Check chapter boundary heuristics as multiple sections extend past their parent chapter.' end,
-    case when empty_chapter_rate > 0.2 then 'Multiple empty chapters detected; verify if title/preface pages were classified as chapters.' end], lambda x: x is not null) as r from metrics_))""",
+    "audit_recommendations": "select * from recs_",
+    "sink_audit": """
+select m.document_id, concat_ws(chr(10), '# Structural Validation Report — ' || m.document_id, '', '## Structural Summary', printf('- **Parent-Child Integrity**: %.2f', round(parent_child_integrity, 2)),
+  printf('- **Page Boundary Integrity**: %.2f', round(page_boundary_integrity, 2)), printf('- **Reading Order Score**: %.2f', round(reading_order, 2)), printf('- **Chunk Alignment Score**: %.2f', round(chunk_alignment, 2)), '', '## Recommendations', r) as markdown
+from metrics_ m join (select document_id, string_agg('- ' || recommendation, chr(10) order by position) as r from recs_ group by 1) using (document_id)""",
+    "corpus_wer": """
+select count(*) as samples, round(sum(levenshtein(array_to_string(list_transform(r, lambda x: chr(cast(list_position(v, x) as int))), ''), array_to_string(list_transform(h, lambda x: chr(cast(list_position(v, x) as int))), ''))) / sum(len(r)), 5)::double as wer
+from (select r, h, list_distinct(list_concat(r, h)) as v from (select regexp_split_to_array(trim(ref), '\\s+') as r, regexp_split_to_array(trim(hyp), '\\s+') as h from ocr_))""",
     "audit_issues": """
 select document_id, 1::bigint as category_no, 'WARNING' as severity, 'heading_hierarchy' as category, chapters_detected as n from vheading_ where score < 1
 union all select document_id, 2, 'WARNING', 'chapter_numbering', duplicate_numbers from vchapter_ where duplicate_numbers > 0

@@ -435,7 +435,7 @@ def top3_examples(m):
     return b.select("document_id", F.array_join(F.transform("e", lambda x: F.concat_ws(":", x["chapter_id"], x["page_start"], x["section_id"])), ",").alias("examples"))
 
 
-@over_model
+@over_defects
 def sink_audit(m):
     a = m.audit
     return audit.markdown(a, audit.recommendations(a))
