@@ -5,14 +5,16 @@ of SIDE x SIDE tables, so 2 x SIDE x PER minhashes serve all tables. A pair of s
 probability (1 - (1 - s^PER)^SIDE)^2: 0.9993 at 0.8, 0.99999 at 0.9.
 
 1. Texts with the same set form one class; only classes go on (copies never multiply).
-2. Keys held by two classes or more keep their members, with a one-byte signature of each minhash.
-3. Members of a table cell are compared by signature and size, in blocks of bounded size; likely pairs are verified
-   on full sets. Three rounds, each after contracting the links found so far: everyone against the least member, against the likeliest
+2. Keys held by two classes or more keep their members; for these classes alone the sets are made again, with a signature of WIDE
+   further minhashes, a byte each.
+3. Members of a table cell are compared by signature and size, then by their LOW least shingle hashes (which are the whole set of a
+   short text), in blocks of bounded size; likely pairs are verified on full sets. Three rounds, each after contracting the links found so far: everyone against the least member, against the likeliest
    member of another component, and all pairs of different components. So a group of n like members costs about n verifications, not n^2, and
    no candidate between components goes unchecked.
 4. Components of the verified links; a class's documents share its component.
 
-The signature filter passes a pair of similarity 0.8 with probability 1 - 2e-6.
+Both filters (AGREE of WIDE bytes; NEAR of the LOW least of the union) pass a pair of similarity 0.8 with probability 1 - 4e-6. In the last round a pair is
+looked at in the first table in which it meets only.
 """
 
 from __future__ import annotations
@@ -31,11 +33,12 @@ from .kernels import PLAIN, U, Words, map_texts, mix
 
 SIDE, PER = 8, 2
 HASHES = 2 * SIDE * PER
-AGREE = 14
-CELL = 1024
+WIDE, AGREE = 128, 82
+LOW, NEAR = 256, 174
+CELL = 4096
 _RNG = np.random.default_rng(606)
-_A = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64) * U(2) + U(1)
-_B = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
+_A = _RNG.integers(0, 2**63, HASHES + WIDE, dtype=np.uint64) * U(2) + U(1)
+_B = _RNG.integers(0, 2**63, HASHES + WIDE, dtype=np.uint64)
 _TAG = _RNG.integers(0, 2**63, 2 * SIDE, dtype=np.uint64)
 
 
@@ -57,91 +60,118 @@ def digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def minhashes(sets: list[np.ndarray], first: int, count: int) -> np.ndarray:
+    """One row a set (none empty), one column for each of the hash functions from first on."""
+    if not sets:
+        return np.zeros((0, count), U)
+    flat, offsets = np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets[:-1]])
+    return mix(np.stack([np.minimum.reduceat(flat * a + b, offsets) for a, b in zip(_A[first : first + count], _B[first : first + count], strict=True)], axis=1))
+
+
+def partial_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """Two collections of SIDE keys, each from PER minhashes of its own."""
+    least = minhashes(sets, 0, HASHES)
+    keys = np.repeat(_TAG[None, :], len(least), axis=0)
+    for j in range(PER):
+        keys = mix(keys ^ least[:, j::PER])
+    return keys
+
+
+def low_hashes(s: np.ndarray) -> bytes:
+    """The LOW least of the set's hashes, cut to 32 bits; fewer only if they are all."""
+    return np.unique((mix(s) >> U(32)).astype(np.uint32))[:LOW].tobytes()
+
+
+def near(a: np.ndarray, b: np.ndarray, whole: bool) -> bool:
+    """Whether two sets of least hashes allow a similarity of 0.8; whole: both hold their whole set."""
+    if whole:
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * common >= 79 * (len(a) + len(b) - common)
+    least = np.sort(np.concatenate([a, b]))
+    twice = least[1:] == least[:-1]
+    rank = np.cumsum(np.r_[True, ~twice])  # place among the distinct
+    return int(twice[rank[1:] <= LOW].sum()) >= NEAR
+
+
 def sketch(texts: list[bytes], k: int) -> dict[str, list]:
     sets = shingle_sets(texts, k)
-    full = [s for s in sets if len(s)]
-    sig, keys = np.zeros((0, HASHES), U), np.zeros((0, 2 * SIDE), U)
-    if full:
-        flat, offsets = np.concatenate(full), np.cumsum([0] + [len(s) for s in full[:-1]])
-        least = np.stack([np.minimum.reduceat(flat * a + b, offsets) for a, b in zip(_A, _B, strict=True)], axis=1)
-        sig = mix(least)
-        keys = np.repeat(_TAG[None, :], len(full), axis=0)
-        for j in range(PER):
-            keys = mix(keys ^ sig[:, j::PER]) if PER > 1 else keys ^ sig
-    small = sig.astype(np.uint8)
-    out: dict[str, list] = {"n": [], "cls": [], "sig": [], "keys": []}
+    keys = partial_keys([s for s in sets if len(s)])
+    out: dict[str, list] = {"n": [], "cls": [], "keys": []}
     i = 0
     for s in sets:
         out["n"].append(len(s))
         if len(s):
             out["cls"].append(digest(s))
-            out["sig"].append(small[i].tobytes())
             out["keys"].append(keys[i].view(np.int64))
             i += 1
         else:
-            for c in ("cls", "sig", "keys"):
+            for c in ("cls", "keys"):
                 out[c].append(None)
     return out
 
 
 def _cells(mode: str):
-    """Likely pairs of each cell. Rows come sorted by cell; a cell may span batches."""
+    """Likely pairs of each cell. Rows come sorted by cell; a cell may span batches.
 
-    def likely(sig: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        ok = 5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])
-        i, j = i[ok], j[ok]
-        agree = np.zeros(len(ok), np.int16)
-        agree[ok] = (sig[i] == sig[j]).sum(axis=1)
-        return agree
+    Columns: cell, cid, comp, n, half, table, signature; in the last round also partial keys and least hashes.
+    """
+
+    def pairs(cid, comp, n, half, table, sig, keys=None, low=None) -> Iterator[tuple[int, int]]:
+        def agreeing(x: int, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            j = j[5 * np.minimum(n[x], n[j]) >= 4 * np.maximum(n[x], n[j])]
+            agree = (sig[j] == sig[x]).sum(axis=1)
+            return j[agree >= AGREE], agree[agree >= AGREE]
+
+        def likely(x: int, y: int) -> bool:
+            return near(np.frombuffer(low[x], np.uint32), np.frombuffer(low[y], np.uint32), n[x] <= LOW and n[y] <= LOW)
 
-    def pairs(cid: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         m = len(cid)
         if mode == "least":
             lead = int(np.argmin(cid))
-            j = np.flatnonzero(comp != comp[lead])
-            i = np.full(len(j), lead)
-            hit = likely(sig, n, i, j) >= AGREE
-            return cid[i[hit]], cid[j[hit]]
-        out_a, out_b = [], []
+            j, _ = agreeing(lead, np.flatnonzero(comp != comp[lead]))
+            yield from ((lead, int(y)) for y in j)
+            return
         for x in range(m):
             # a cell of two halves compares across them only; half is 2 for a block with itself
             j = np.flatnonzero((comp != comp[x]) & ((half[x] == 2) | (half != half[x])))
             if mode == "all":
                 j = j[j > x]
+            if not len(j):
+                continue
+            j, agree = agreeing(x, j)
+            if mode == "best":
+                if len(j):
+                    yield x, int(j[np.argmax(agree)])
+                continue
             if len(j):
-                agree = likely(sig, n, np.full(len(j), x), j)
-                hit = np.flatnonzero(agree >= AGREE)
-                if mode == "best" and len(hit):
-                    hit = hit[[np.argmax(agree[hit])]]
-                out_a.append(np.full(len(hit), cid[x]))
-                out_b.append(cid[j[hit]])
-        none = np.zeros(0, np.int64)
-        return np.concatenate(out_a or [none]), np.concatenate(out_b or [none])
+                same = keys[j] == keys[x]
+                first = SIDE * np.argmax(same[:, :SIDE], axis=1) + np.argmax(same[:, SIDE:], axis=1)
+                yield from ((x, int(y)) for y in j[first == table[x]] if likely(x, int(y)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list | None = None
 
-        def emit(cols: list[np.ndarray]) -> pa.RecordBatch:
-            cell, cid, comp, n, half, sig = cols
+        def emit(cols: list) -> pa.RecordBatch:
+            cell, cid, rest = cols[0], cols[1], cols[2:]
             cuts = np.flatnonzero(np.diff(cell)) + 1
-            a, b = [], []
-            for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(cell)], strict=True):
+            found = set()
+            for lo, hi in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(cell)].tolist(), strict=True):
                 if hi - lo > 1:
-                    p, q = pairs(cid[lo:hi], comp[lo:hi], n[lo:hi], sig[lo:hi], half[lo:hi])
-                    a.append(p)
-                    b.append(q)
-            none = np.zeros(0, np.int64)
-            a, b = np.concatenate(a or [none]), np.concatenate(b or [none])
-            got = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_pydict({"a": pa.array(got[:, 0], pa.int64()), "b": pa.array(got[:, 1], pa.int64())})
+                    ids = cid[lo:hi]
+                    found.update((min(p, q), max(p, q)) for p, q in ((int(ids[x]), int(ids[y])) for x, y in pairs(ids, *[c[lo:hi] for c in rest])))
+            got = sorted(found)
+            return pa.RecordBatch.from_pydict({"a": pa.array([p for p, _ in got], pa.int64()), "b": pa.array([q for _, q in got], pa.int64())})
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            now.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, HASHES))
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            now.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, WIDE))
+            if mode == "all":
+                now.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint32).reshape(-1, 2 * SIDE))
+                now.append(np.array([*batch.column(8).to_pylist(), None], object)[:-1])
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            last = np.searchsorted(held[0], held[0][-1])
+            last = int(np.searchsorted(held[0], held[0][-1]))
             if last:
                 yield emit([x[:last] for x in held])
                 held = [x[last:] for x in held]
@@ -169,16 +199,16 @@ def groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: st
     share the id. Null ids never name a component unless nothing else does; rows whose component has no id are kept.
     """
     spark = docs.sparkSession
-    rows = cut(map_texts(docs, lambda t: sketch(t, words), "n long, cls binary, sig binary, keys array<long>", id_col, text_col))
-    classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.max("keys").alias("keys"))
+    rows = cut(map_texts(docs, lambda t: sketch(t, words), "n long, cls binary, keys array<long>", id_col, text_col))
+    classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.max("keys").alias("keys"))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
 
     left, right = F.slice("keys", 1, SIDE), F.slice("keys", SIDE + 1, SIDE)
     cells = F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: F.xxhash64(a, b))))
-    bands = classes.select("cid", F.explode(cells).alias("key"))
+    bands = classes.select("cid", F.posexplode(cells).alias("t", "key"))
     shared = bands.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
     members = cut(bands.join(shared, "key"))
-    active = cut(members.select("cid").distinct().join(classes.select("cid", "cls", "first_id", "n", "sig"), "cid"))
+    active = cut(members.select("cid").distinct().join(classes.select("cid", "cls", "first_id", "n"), "cid"))
     links = None
     n_active = active.count()
     if n_active:
@@ -186,7 +216,7 @@ def groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: st
         comp = active.select("cid", F.col("cid").alias("comp"))
         tested = None
         for mode in ("least", "best", "all"):
-            pairs = _candidates(members, active, comp, mode, 4 * shuffle_partitions(spark))
+            pairs = _candidates(members, sets.select("cid", "n", "sig", "pk", "low"), comp, mode, 4 * shuffle_partitions(spark))
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = cut(pairs)
@@ -210,24 +240,33 @@ def groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: st
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
-def _candidates(members: DataFrame, active: DataFrame, comp: DataFrame, mode: str, parts: int) -> DataFrame:
-    """Distinct likely pairs (a < b) of classes that share a cell and are in different components. Cells of over CELL members are dealt as blocks."""
-    m = members.join(active.select("cid", "n", "sig"), "cid").join(comp, "cid")
+def _candidates(members: DataFrame, signed: DataFrame, comp: DataFrame, mode: str, parts: int) -> DataFrame:
+    """Distinct likely pairs (a < b) of classes that share a cell and are in different components.
+
+    The pair of a cell of two is settled by the first round. Cells of over CELL members are dealt as blocks; later rounds leave cells of one component out.
+    """
+    m = members if mode == "least" else members.where("size > 2")
+    m = m.join(comp, "cid")
+    if mode != "least":
+        open_ = m.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("key")
+        m = m.join(open_, "key")
+    columns = ["sig", *["pk", "low"] * (mode == "all")]
+    m = m.join(signed.select("cid", "n", *columns), "cid")
     n_blocks = F.ceil(F.col("size") / (CELL // 2)).cast("int")
     block = F.pmod(F.xxhash64("cid"), n_blocks).cast("int")
     if mode == "least":
         cell = F.when(F.col("size") > CELL, F.xxhash64("key", block)).otherwise(F.col("key"))
-        m = m.select(cell.alias("cell"), "cid", "comp", "n", F.lit(2).alias("half"), "sig")
+        m = m.select(cell.alias("cell"), "cid", "comp", "n", F.lit(2).alias("half"), "t", *columns)
     else:
         m = m.withColumn("_blk", block)
         others = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda i: F.struct(F.xxhash64("key", F.least("_blk", i), F.greatest("_blk", i)).alias("cell"), F.when(i == F.col("_blk"), 2).when(F.col("_blk") < i, 0).otherwise(1).alias("half")))
         one = F.array(F.struct(F.col("key").alias("cell"), F.lit(2).alias("half")))
-        m = m.withColumn("_p", F.explode(F.when(F.col("size") > CELL, others).otherwise(one))).select("_p.cell", "cid", "comp", "n", "_p.half", "sig")
+        m = m.withColumn("_p", F.explode(F.when(F.col("size") > CELL, others).otherwise(one))).select("_p.cell", "cid", "comp", "n", "_p.half", "t", *columns)
     return m.repartition(parts, "cell").sortWithinPartitions("cell", "cid").mapInArrow(_cells(mode), "a long, b long").distinct()
 
 
 def _sets(docs: DataFrame, active: DataFrame, words: int, id_col: str, text_col: str, small: bool) -> DataFrame:
-    """cid and the sorted shingle hashes of each active class, made again from the text of its first document.
+    """cid, n, signature, partial keys, least hashes and sorted shingle hashes of each active class, made again from the text of its first document.
 
     Ids may repeat with other texts, so the class is checked on the digest.
     """
@@ -237,7 +276,12 @@ def _sets(docs: DataFrame, active: DataFrame, words: int, id_col: str, text_col:
 
     def run(t: list[bytes]) -> dict[str, list]:
         sets = shingle_sets(t, words)
-        return {"cls": [digest(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
-
-    made = map_texts(texts, run, "cls binary, shingles binary", "_d", "text", "_d")
-    return made.join(wanted, (F.col("cls") == F.col("_cls")) & F.col("_d").eqNullSafe(F.col("_id"))).select("cid", "shingles").dropDuplicates(["cid"])
+        full = [s for s in sets if len(s)]
+        sig, pk = iter(minhashes(full, HASHES, WIDE).astype(np.uint8)), iter(partial_keys(full).astype(np.uint32))
+        return {
+            "cls": [digest(s) for s in sets], "n": [len(s) for s in sets], "sig": [next(sig).tobytes() if len(s) else None for s in sets],
+            "pk": [next(pk).tobytes() if len(s) else None for s in sets], "low": [low_hashes(s) for s in sets], "shingles": [s.tobytes() for s in sets],
+        }
+
+    made = map_texts(texts, run, "cls binary, n long, sig binary, pk binary, low binary, shingles binary", "_d", "text", "_d")
+    return made.join(wanted, (F.col("cls") == F.col("_cls")) & F.col("_d").eqNullSafe(F.col("_id"))).select("cid", "n", "sig", "pk", "low", "shingles").dropDuplicates(["cid"])
