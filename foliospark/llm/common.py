@@ -31,3 +31,11 @@ def cut(df: DataFrame) -> DataFrame:
 def uniform(*cols: Column | str) -> Column:
     """A number in (0, 1) that depends on the columns alone."""
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11) + F.lit(0.5)) * F.lit(2.0**-53)
+
+
+def undealt(col: Column | str) -> Column:
+    """A long column, its value unchanged, that the planner does not know the rows to be dealt by.
+
+    A join on it shuffles this side again, though small, and so lets AQE split a hot key of the other, large side.
+    """
+    return (F.col(col) if isinstance(col, str) else col).bitwiseXOR(F.lit(0).cast("long"))

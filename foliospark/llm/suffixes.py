@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions
+from .common import cut, shuffle_partitions, undealt
 from .kernels import _BYTE, BLOCK, U, mix
 
 SPAN, GRAM = 200, 32
@@ -330,6 +330,7 @@ def repeated_spans(texts: DataFrame, broadcast_keys: int = 1_000_000, hot: int =
     place = F.xxhash64("t1", "t2", "lo")
     often = F.max(F.col("spans").isNotNull())
     met = rows.groupBy("fp").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.min("ctx").alias("c"), F.max("ctx").alias("d"), often.alias("o")).where("p <> q or o").select("fp", (F.col("c") != F.col("d")).alias("several"))
+    met = cut(met).select(undealt("fp").alias("fp"), "several")
     found = cut(rows.join(met, "fp"))  # copies of a text give equal rows
     kinds = cut(found.groupBy("fp", "ctx").agg(F.max("several").alias("several"), F.max("sides").alias("sides"), ((F.min(place) != F.max(place)) | often).alias("whole"), F.min(F.struct("t1", "t2", "lo", "n")).alias("at")))
     several = kinds.where("several")
