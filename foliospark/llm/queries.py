@@ -19,6 +19,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def simhash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 50 against all: fingerprints within 3 bits, and how many documents hold each."""
+    docs = table(spark, sf_dir, "documents").withColumn("text_hash", F.xxhash64("text"))
+    fps = simhash.fingerprints(docs, ["doc_id", "text_hash"]).select("doc_id", "fp")
+    found = simhash.search(fps.where("doc_id % 50 = 0"), fps, 3)
+    return found.select("doc_id", simhash.hexed(F.col("near_fp")).alias("near_fingerprint"), F.col("distance").cast("long").alias("distance"), "n_rows")
+
+
 def op2_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = quality.score(docs, quality.train(docs, labels, "quality", *QUALITY_FOLD))
@@ -64,7 +72,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_rule_quality, op3_noisy_or_toxicity, op4_pivotal_mix, op5_hash_tree_shards, op6_tensored_minhash, op7_two_stage_suffixes, op8_winnowing, op9_pii_transducer, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_simhash, simhash_search, op2_rule_quality, op3_noisy_or_toxicity, op4_pivotal_mix, op5_hash_tree_shards, op6_tensored_minhash, op7_two_stage_suffixes, op8_winnowing, op9_pii_transducer, op10_license_scan)}
 ORACLES: dict[str, str] = {
     "op6_tensored_minhash": r"""
 with recursive low as (
