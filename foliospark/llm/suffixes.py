@@ -339,8 +339,7 @@ def repeated_spans(texts: DataFrame, broadcast_keys: int = 1_000_000, hot: int =
     both = F.explode(F.array(F.struct(left.alias("_s"), F.lit(0).alias("_i")), F.struct(right.alias("_s"), F.lit(1).alias("_i"))))
     meeting = several.select("fp", "ctx", both.alias("_b")).select("fp", "ctx", "_b.*").join(agree[0].unionByName(agree[1]), ["fp", "_s", "_i"]).select("fp", "ctx").distinct()
     open_ = several.join(meeting, ["fp", "ctx"], "left_semi").select("fp", "ctx", "whole", "at.*")
-    many = open_.groupBy("fp").agg(F.count("*").alias("k"))
-    open_ = cut(open_.join(many, "fp"))
+    open_ = cut(open_)
 
     # Contexts of the open anchors, cut from one text each.
     wanted = open_.groupBy("t1", "t2").agg(F.collect_list(F.struct("fp", "ctx", "lo", "n")).alias("wanted"))  # bounded by the text
@@ -350,7 +349,7 @@ def repeated_spans(texts: DataFrame, broadcast_keys: int = 1_000_000, hot: int =
     if n_keys:
         held = _meet(long, keys, "left_semi", n_keys, broadcast_keys) if n_keys <= broadcast_keys else long
         contexts = held.join(wanted, ["t1", "t2"]).select("t1", "t2", "data", "wanted").mapInArrow(_cut_contexts, "fp long, ctx long, n int, context binary")
-        hot_fps = open_.where(F.col("k") > hot).select("fp").distinct()
+        hot_fps = cut(open_.groupBy("fp").agg(F.count("*").alias("k")).where(F.col("k") > hot).select(undealt("fp").alias("fp")))
         n_hot = hot_fps.count()
         if n_hot:
             contexts = cut(contexts)
