@@ -45,9 +45,10 @@ def quality_features(text: Column, images: Column) -> dict[str, Column]:
     """Text-layer quality of a page: counts, ratios (rounded to 3 places) and the score."""
     n = F.length(text)
     size = n.cast("double")
-    printable = F.regexp_count(text, F.lit(r"[\x20-\x7E\t\n\r\x0B\x0C]")) / size
-    garbage = F.regexp_count(text, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F�]")) / size
-    blank = F.regexp_count(text, F.lit(r"[\s\x1c-\x1f\x85 ]")) / size
+    of = lambda kind: (n - F.length(F.regexp_replace(text, f"[{kind}]+", ""))) / size  # noqa: E731  characters of a kind, removed by runs
+    printable = of(r"\x20-\x7E\t\n\r\x0B\x0C")
+    garbage = of(r"\x00-\x08\x0B\x0C\x0E-\x1F\uFFFD")
+    blank = of(r"\s\x1c-\x1f\x85\u00A0")
     words = tokens(text)
     mean = F.when(F.size(words) > 0, F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)) / F.size(words)).otherwise(0.0)
     score = (

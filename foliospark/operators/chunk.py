@@ -42,9 +42,10 @@ def assign_chunks(us: DataFrame, least: int = 300, most: int = 800, overlap: int
 
     out = F.aggregate("us", start, step, lambda a: a["out"])
     # carried is set on the unit that opens the next chunk; the unit before it is the one that is carried.
-    rows = u.select(*CHAPTER, F.posexplode(out).alias("i", "u"), out.alias("all"))
-    carried_on = F.coalesce(F.get("all", F.col("i") + 1)["carried"], F.lit(False))
-    return rows.select(*CHAPTER, "u.page_number", "u.reading_order", "u.region_id", F.col("i").cast("long").alias("unit_no"), F.col("u.chunk_no").cast("long").alias("chunk_no"), carried_on.alias("carried"))
+    rows = u.select(*CHAPTER, out.alias("all"))
+    on = F.transform("all", lambda x, i: F.struct(x["page_number"].alias("page_number"), x["reading_order"].alias("reading_order"), x["region_id"].alias("region_id"), x["chunk_no"].alias("chunk_no"), F.coalesce(F.get(F.col("all"), i + 1)["carried"], F.lit(False)).alias("carried")))
+    rows = rows.select(*CHAPTER, F.posexplode(on).alias("i", "u"))
+    return rows.select(*CHAPTER, "u.page_number", "u.reading_order", "u.region_id", F.col("i").cast("long").alias("unit_no"), F.col("u.chunk_no").cast("long").alias("chunk_no"), "u.carried")
 
 
 def chunk_members(assigned: DataFrame) -> DataFrame:
