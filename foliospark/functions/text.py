@@ -48,9 +48,10 @@ def quality_features(text: Column, images: Column) -> dict[str, Column]:
     of = lambda kind: (n - F.length(F.regexp_replace(text, f"[{kind}]+", ""))) / size  # noqa: E731  characters of a kind, removed by runs
     printable = of(r"\x20-\x7E\t\n\r\x0B\x0C")
     garbage = of(r"\x00-\x08\x0B\x0C\x0E-\x1F\uFFFD")
-    blank = of(r"\s\x1c-\x1f\x85\u00A0")
-    words = tokens(text)
-    mean = F.when(F.size(words) > 0, F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)) / F.size(words)).otherwise(0.0)
+    space = r"\s\x1c-\x1f\x85\u00A0"
+    blank = of(space)
+    words = F.regexp_count(text, F.lit(f"[^{space}]+"))
+    mean = F.when(words > 0, F.length(F.regexp_replace(text, f"[{space}]+", "")) / words).otherwise(0.0)
     score = (
         F.lit(1.0)
         - F.when(printable < 0.95, (F.lit(0.95) - printable) * 2).otherwise(0.0)
@@ -62,7 +63,7 @@ def quality_features(text: Column, images: Column) -> dict[str, Column]:
     some = n > 0
     return {
         "text_character_count": n.cast("long"),
-        "word_count": F.size(words).cast("long"),
+        "word_count": words.cast("long"),
         "printable_ratio": F.when(some, F.round(printable, 3)).otherwise(0.0),
         "whitespace_ratio": F.when(some, F.round(blank, 3)).otherwise(0.0),
         "garbage_ratio": F.when(some, F.round(garbage, 3)).otherwise(1.0),
