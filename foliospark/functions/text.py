@@ -41,17 +41,27 @@ def roman_value(c: Column) -> Column:
     return F.when(F.trim(c).rlike(r"^\d+$"), F.trim(c).cast("int")).otherwise(F.when(total > 0, total).otherwise(1))
 
 
-def quality_features(text: Column, images: Column) -> dict[str, Column]:
-    """Text-layer quality of a page: counts, ratios (rounded to 3 places) and the score."""
-    n = F.length(text)
+SPACE_KIND = r"\s\x1c-\x1f\x85\u00A0"
+
+
+def character_counts(text: Column) -> dict[str, Column]:
+    """Characters of a text, those left when one kind is removed by runs, and words. To be columns of their own before quality_features reads them."""
+    left = lambda kind: F.length(F.regexp_replace(text, f"[{kind}]+", ""))
+    return {
+        "_n": F.length(text),
+        "_unprintable": left(r"\x20-\x7E\t\n\r\x0B\x0C"),
+        "_ungarbled": left(r"\x00-\x08\x0B\x0C\x0E-\x1F\uFFFD"),
+        "_solid": left(SPACE_KIND),
+        "_words": F.regexp_count(text, F.lit(f"[^{SPACE_KIND}]+")),
+    }
+
+
+def quality_features(images: Column) -> dict[str, Column]:
+    """Text-layer quality of a page from its character_counts: counts, ratios (rounded to 3 places) and the score."""
+    n, words = F.col("_n"), F.col("_words")
     size = n.cast("double")
-    of = lambda kind: (n - F.length(F.regexp_replace(text, f"[{kind}]+", ""))) / size  # noqa: E731  characters of a kind, removed by runs
-    printable = of(r"\x20-\x7E\t\n\r\x0B\x0C")
-    garbage = of(r"\x00-\x08\x0B\x0C\x0E-\x1F\uFFFD")
-    space = r"\s\x1c-\x1f\x85\u00A0"
-    blank = of(space)
-    words = F.regexp_count(text, F.lit(f"[^{space}]+"))
-    mean = F.when(words > 0, F.length(F.regexp_replace(text, f"[{space}]+", "")) / words).otherwise(0.0)
+    printable, garbage, blank = (n - F.col("_unprintable")) / size, (n - F.col("_ungarbled")) / size, (n - F.col("_solid")) / size
+    mean = F.when(words > 0, F.col("_solid") / words).otherwise(0.0)
     score = (
         F.lit(1.0)
         - F.when(printable < 0.95, (F.lit(0.95) - printable) * 2).otherwise(0.0)

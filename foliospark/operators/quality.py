@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import quality_features
+from ..functions.text import character_counts, quality_features
 
 ROUTES = ("DIGITAL_TEXT", "POOR_TEXT_LAYER", "SCANNED_OR_IMAGE_ONLY")
 METHODS = ("pdfplumber", "cnn_ocr", "baseline_ocr")
@@ -18,7 +18,9 @@ def route(score: Column, chars: Column, threshold: float = 0.70) -> Column:
 def page_quality(pages: DataFrame, threshold: float = 0.70) -> DataFrame:
     """One row a page: features, score and route. Null text counts as empty."""
     text = F.coalesce(F.col("raw_text"), F.lit(""))
-    p = pages.select("document_id", "page_number", "width", "height", "image_count", *[c.alias(n) for n, c in quality_features(text, F.col("image_count")).items()])
+    keys = ["document_id", "page_number", "width", "height", "image_count"]
+    p = pages.select(*keys, *[c.alias(n) for n, c in character_counts(text).items()])
+    p = p.select(*keys, *[c.alias(n) for n, c in quality_features(F.col("image_count")).items()])
     r = route(F.col("text_quality_score"), F.col("text_character_count"), threshold)
     return p.select("*", (F.col("text_character_count") > 0).alias("text_layer_available"), r.alias("route"), (r == ROUTES[0]).alias("should_use_text_layer"))
 
