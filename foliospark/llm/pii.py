@@ -1,7 +1,8 @@
 """Personal data: plain patterns, and the same patterns after an offset-preserving deobfuscation.
 
 A transducer rewrites disguises (homoglyphs and full-width forms, zero-width characters, spelled digits, "at" and "dot") and keeps, for every
-character it writes, the source characters it stands for. Identifiers found in the rewritten text are mapped back to spans of the source. A span so
+character it writes, the source characters it stands for. "dot" is rewritten between digits in any text, between other words only in a text with an
+"@". Four numbers, in digits or spelled, joined by three "dot" or "point" are rewritten as a whole. Identifiers found in the rewritten text are mapped back to spans of the source. A span so
 found is added if it overlaps none of its kind that the plain patterns have found.
 
 Null and empty texts have no spans. Offsets are code points, end exclusive. Every search is linear in the text.
@@ -100,9 +101,14 @@ _D = "(?:" + "|".join(DIGITS) + ")"
 SPELLED = re.compile(rf"(?:\bplus[\s-]{{0,3}})?\b{_D}(?:[\s,-]{{1,3}}(?:{_D}|dot|point))+\b", re.I)
 SPELLED_HINT = re.compile(rf"\b{_D}[\s,-]{{1,3}}(?:{_D}|dot|point)\b", re.I)
 TOKEN = re.compile(rf"plus|{_D}|dot|point", re.I)
+NUMBER_TOKEN = re.compile(rf"[0-9]+|{_D}|dot|point", re.I)
+ASCII_DIGITS = frozenset("0123456789")
 BRACKETED = re.compile(r"[ \t]{0,3}[\[({<][ \t]{0,3}(at|dot)[ \t]{0,3}[\])}>][ \t]{0,3}", re.I)
 WORDED = re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,3}at[ \t]{1,3}(?=[A-Za-z0-9-]{1,63}(?:[ \t]{1,3}dot[ \t]{1,3}[A-Za-z0-9-]{1,63}){1,8}\b)", re.I)
 DOTTED = re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,3}dot[ \t]{1,3}(?=[A-Za-z0-9])", re.I)
+_N = rf"(?:[0-9]{{1,9}}|{_D}(?:[\s,-]{{1,3}}{_D}){{0,2}})"
+NUMBERS = re.compile(rf"\b{_N}(?:[\s,-]{{1,3}}(?:dot|point)[\s,-]{{1,3}}{_N}){{3}}\b(?![\s,-]{{1,3}}{_D}\b)", re.I)
+NUMBERS_HINT = re.compile(rf"[\s,-](?:dot|point)[\s,-]{{1,3}}(?:[0-9]|{_D})", re.I)
 
 Piece = tuple[str, int, int]
 
@@ -130,22 +136,35 @@ class Tape:
         return Tape("".join(text), start + self.start[at:], end + self.end[at:])
 
 
-def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
-    """The run as digits, each written over its own word, so that spans keep their exact ends."""
-    words = list(TOKEN.finditer(m[0]))
-    digits = [w for w in words if w[0].lower() in DIGITS]
-    if len(digits) < 3:
-        return []
+def _joined(m: re.Match, words: list[re.Match]) -> list[tuple[int, int, str]]:
+    """The words of the run as digits, each written over its own word, so that spans keep their exact ends."""
     out, at = [], 0
     for w in words:
-        new = DIGITS.get(w[0].lower()) or ("+" if w[0].lower() == "plus" else ".")
+        new = w[0] if w[0].isdigit() else DIGITS.get(w[0].lower()) or ("+" if w[0].lower() == "plus" else ".")
         if w.start() > at:
             out.append((m.start() + at, m.start() + w.start(), ""))
-        out.append((m.start() + w.start(), m.start() + w.end(), new))
+        if new != w[0]:
+            out.append((m.start() + w.start(), m.start() + w.end(), new))
         at = w.end()
     return out
 
 
+def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
+    words = list(TOKEN.finditer(m[0]))
+    return _joined(m, words) if sum(w[0].lower() in DIGITS for w in words) >= 3 else []
+
+
+def _numbers(m: re.Match) -> list[tuple[int, int, str]]:
+    """Only runs with a number in digits; those wholly spelled are left to _spelled, which knows their surroundings."""
+    words = list(NUMBER_TOKEN.finditer(m[0]))
+    return _joined(m, words) if any(w[0].isdigit() for w in words) else []
+
+
+def _dots(t: str) -> list[tuple[int, int, str]]:
+    everywhere = "@" in t
+    return [(m.start(), m.end(), ".") for m in DOTTED.finditer(t) if everywhere or (t[m.start() - 1] in ASCII_DIGITS and t[m.end()] in ASCII_DIGITS)]
+
+
 def deobfuscate(s: str) -> Tape | None:
     """s rewritten, or None if it holds no disguise."""
     tape = None
@@ -156,10 +175,11 @@ def deobfuscate(s: str) -> Tape | None:
         tape = Tape(s).rewrite(edits) if edits else None
     now = tape.text if tape else s
     for hint, edits_of in (
+        (NUMBERS_HINT, lambda t: [e for m in NUMBERS.finditer(t) for e in _numbers(m)]),
         (SPELLED_HINT, lambda t: [e for m in SPELLED.finditer(t) for e in _spelled(m)]),
         (BRACKETED, lambda t: [(m.start(), m.end(), "@" if m[1].lower() == "at" else ".") for m in BRACKETED.finditer(t)]),
         (DOTTED, lambda t: [(m.start(), m.end(), "@") for m in WORDED.finditer(t)]),
-        (DOTTED, lambda t: [(m.start(), m.end(), ".") for m in DOTTED.finditer(t)] if "@" in t else []),
+        (DOTTED, _dots),
     ):
         if hint.search(now):
             edits = edits_of(now)

@@ -432,6 +432,25 @@ def test_pii_disguises(s, kind, what):
     assert base == pii.plain(s)
 
 
+@pytest.mark.parametrize("around", ["host is {} now", "mail joe@example.com, host is {} now", "{}"])
+@pytest.mark.parametrize(
+    "what",
+    ["10 dot 0 dot 0 dot 1", "192 DOT 168  dot 0 dot 254", "10.0 dot 0.1", "10 dot zero dot 0 dot one", "one nine two dot one six eight dot 0 dot 1", "one dot two dot three dot 4", "10 point 0 point 0 point 1", "１０ dot 0 dot 0 dot 1"],
+)
+def test_pii_spelled_dots_do_not_need_an_at(what, around):
+    s = around.format(what)
+    base, added = pii.spans(s)
+    assert [s[a:b] for a, b in added["ip"]] == [what]
+    assert base == pii.plain(s) and not base["ip"]
+
+
+def test_pii_dots_between_words_are_left():
+    for s in ("a dot b dot c dot d", "connect the dot 1 to dot 2", "see 999 dot 0 dot 0 dot 1", "version 1 dot 2 dot 3"):
+        assert not any(pii.spans(s)[1].values())
+    for s in ("1 dot " * 40_000, "one " * 50_000, "one dot " * 30_000, "1 point one " * 20_000):
+        pii.spans(s)
+
+
 def test_pii_long_and_odd(spark):
     for s in ("1" * 200_000, "a" * 200_000, "a." * 100_000, "1." * 100_000, "+1" * 50_000, "@" * 50_000):
         pii.spans(s)
