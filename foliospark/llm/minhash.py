@@ -222,7 +222,7 @@ def groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: st
             pairs = cut(pairs)
             tested = pairs if tested is None else tested.unionByName(pairs)
             if pairs.isEmpty():
-                break
+                continue  # a later round may still hold untested pairs
             a = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("s"))
             b = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("t"))
             found = cut(pairs.join(a, "a").join(b, "b").select("a", "b", "s", "t").mapInArrow(_verified, "a long, b long"))

@@ -293,6 +293,41 @@ def test_minhash_odd_rows(spark):
     assert minhash.groups(docs(spark, []), 5).count() == 0
 
 
+def pair_behind_decoys():
+    """Two sets of words of similarity 0.8, and unlike sets that are in every table cell where the two meet."""
+    rng = np.random.default_rng(3)
+    sets, names = [], [f"w{i}" for i in range(400)]
+    hashes = np.array([s[0] for s in minhash.shingle_sets([w.encode() for w in names], 1)])
+    for _ in range(20_000):
+        x = rng.permutation(400)[:20]
+        sets += [np.sort(hashes[x[:18]]), np.sort(hashes[x[2:]])]
+    keys = minhash.partial_keys(sets)
+    same = keys[::2] == keys[1::2]
+    left, right = same[:, : minhash.SIDE].sum(1), same[:, minhash.SIDE :].sum(1)
+    k = int(np.argmax((left > 0) & (right > 0) & (left + right <= 4)))
+    assert left[k] and right[k] and left[k] + right[k] <= 4
+    pair = [sets[2 * k], sets[2 * k + 1]]
+    held = [f for t in np.flatnonzero(same[k]) for f in range(t * minhash.PER, (t + 1) * minhash.PER)]
+    values = [minhash.minhashes([s], 0, minhash.HASHES)[0, held] for s in (*pair, *[np.array([h]) for h in hashes])]
+    least, each = values[0], np.array(values[2:])
+    core = [i for i in range(400) if (each[i] == least).any()]
+    # words that would take over none of the pair's minimums
+    free = [i for i in range(400) if hashes[i] not in pair[0] and hashes[i] not in pair[1] and (minhash.minhashes([np.sort(np.append(pair[0], hashes[i]))], 0, minhash.HASHES)[0, held] == least).all()]
+    decoys = [core + list(rng.permutation(free)[: 20 - len(core)]) for _ in range(12)]
+    got = minhash.partial_keys([np.sort(hashes[d]) for d in decoys])
+    assert (got[:, same[k]] == keys[2 * k][same[k]]).all()
+    word = dict(zip(hashes.tolist(), names, strict=True))
+    return [" ".join(word[h] for h in s.tolist()) for s in pair], [" ".join(names[i] for i in d) for d in decoys]
+
+
+def test_minhash_goes_on_after_a_round_without_pairs(spark):
+    pair, decoys = pair_behind_decoys()
+    texts = decoys + pair
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.groups(docs(spark, texts), 1).collect()}
+    assert got == brute_groups(list(enumerate(texts)), 1)
+    assert got[len(texts) - 1][1] == len(texts) - 2
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (103, 100), (103, 103)] + [(rng.randrange(200, 240), rng.randrange(200, 240)) for _ in range(40)]
