@@ -9,38 +9,48 @@ from . import decontaminate, minhash, mixing, sharding, toxicity
 from .common import cut, table
 from .queries import MIX_MOST, MIX_SHARE, MIX_WEIGHTS, SHARDS, TOXIC_FOLD
 
-#: Ids up to this many are sent to all executors (8 bytes each); more are joined by shuffle.
+#: Row keys up to this many are sent to all executors (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _row, which tells rows apart by id and text; equal for rows of the same id (or none) and text."""
+    return docs.withColumn("_row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs without those whose doc_id is rejected. Rows without an id are never rejected."""
-    ids = cut(rejected.select("doc_id").where(F.col("doc_id").isNotNull()).distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
+    """docs (keyed) without the rows whose _row is rejected."""
+    rows = cut(rejected.select("_row").distinct())
+    return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, "_row", "left_anti").drop("_row")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.5."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", *TOXIC_FOLD)
-    return _without(docs, toxicity.score(docs, model).where("score >= 0.5"))
+    keyed = _keyed(docs)
+    return _without(keyed, toxicity.score(keyed, model, "_row").where("score >= 0.5").withColumnRenamed("doc_id", "_row"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, similarity 0.8 or more): that of the least id.
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8 or more): that of the least id, one without an id only if none has one.
 
-    Of repeated rows of that id one stays.
+    Of repeated rows of that id and text one stays. Rows without words are in no group and all stay.
     """
-    groups = cut(minhash.groups(docs, words=5))
-    left = _without(docs, groups.where(~F.col("kept")))
-    again = cut(groups.where("kept").where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    keyed = _keyed(docs)
+    ordered = keyed.withColumn("_node", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("_row").alias("row")))
+    groups = cut(minhash.groups(ordered, 5, "_node").select(F.col("doc_id.row").alias("_row"), "n_shingles", "kept"))
+    again = cut(groups.where("kept and n_shingles > 0").groupBy("_row").agg(F.count("*").alias("n")).where("n > 1").select("_row"))
+    left = _without(keyed, groups.where(~F.col("kept")))
     if again.isEmpty():
         return left
-    return _without(left, again).select(docs.columns).unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+    left = _keyed(left)
+    return _without(left, again).unionByName(left.join(again, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of the benchmark."""
-    return _without(docs, decontaminate.find(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    keyed = _keyed(docs)
+    return _without(keyed, decontaminate.find(keyed, table(spark, sf_dir, "benchmark"), "_row").where("contaminated").withColumnRenamed("doc_id", "_row"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
 """Stages take effect and keep the columns of documents."""
 
+from collections import Counter
+
 import corpus_pipeline
+from foliospark.llm import stages, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,3 +21,63 @@ def test_pipeline(spark, tmp_path):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def sentence(seed, n=60):
+    return " ".join(f"{'bcdfghklmn'[(seed + j) % 10]}{'aeiou'[j % 5]}{seed}x{j}" for j in range(n))
+
+
+#: Ids that repeat with other texts, and rows without one; 'nastyword' is toxic, LEAK is in the benchmark.
+A, B, C, D, E, LEAK = (sentence(s) for s in (1, 2, 3, 4, 5, 6))
+ROWS = [
+    (1, A), (1, B), (1, f"{C} nastyword"), (2, D), (2, f"{D} more"), (3, D), (4, f"{E} {LEAK}"), (4, sentence(7)), (5, sentence(8)), (5, sentence(8)),
+    (None, sentence(9)), (None, sentence(9)), (None, f"{sentence(10)} nastyword"), (None, f"{LEAK} {sentence(11)}"), (None, A), (6, ""), (6, None), (None, None),
+]
+
+
+def shingles(t):
+    w = (t or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+
+
+def brute_deduplicated(rows):
+    """Of each row its group (links of similarity 0.8) and shingles; of each group the least id, none last."""
+    sets, group = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and b and 10 * len(a & b) >= 8 * len(a | b):
+                    group[i] = group[j] = min(group[i], group[j])
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least.setdefault(group[i], []).append((d is None, d or 0))
+    return group, sets, {g: min(x) for g, x in least.items()}
+
+
+def brute_leaks(t, items):
+    w, held = (t or "").split(), {tuple(v[i : i + 10]) for v in (x.split() for x in items) for i in range(len(v) - 9)}
+    return any(tuple(w[i : i + 10]) in held for i in range(len(w) - 9))
+
+
+def test_stages_decide_by_row(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(toxicity, "train", lambda *_: toxicity.Model(-6.0, {f: 12.0 for f in toxicity.stems("nastyword")}))
+    spark.createDataFrame([(1, LEAK)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in ROWS], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+    def rows(d):
+        assert d.columns == docs.columns
+        return Counter((r["doc_id"], r["text"]) for r in d.collect())
+
+    assert rows(stages.drop_toxic(spark, docs, str(tmp_path))) == Counter(r for r in ROWS if "nastyword" not in (r[1] or ""))
+    assert rows(stages.drop_contaminated(spark, docs, str(tmp_path))) == Counter(r for r in ROWS if not brute_leaks(r[1], [LEAK]))
+
+    got = rows(stages.drop_near_duplicates(spark, docs, str(tmp_path)))
+    group, sets, least = brute_deduplicated(ROWS)
+    assert not got - Counter(ROWS)
+    for g in set(group):
+        members = [r for r, x in zip(ROWS, group, strict=True) if x == g]
+        kept = [r for r in got.elements() if r in members]
+        if sets[g]:
+            assert len(kept) == 1 and (kept[0][0] is None, kept[0][0] or 0) == least[g]
+    assert Counter({r: n for r, n in got.items() if not shingles(r[1])}) == Counter(r for r in ROWS if not shingles(r[1]))
