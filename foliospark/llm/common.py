@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +21,59 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, so that lost executors do not lose it."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. One of this machine only where none is set and all tasks run on this machine."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="foliospark-"))
-    return df.checkpoint()
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="foliospark-"))
+    return sc.getCheckpointDir()
+
+
+#: Narrow rows that one task may well hold.
+ROWS = 65_536
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df, its narrow rows (about so many) in no more tasks than they need."""
+    return df.coalesce(max(1, -(-rows // ROWS)))
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, computed once and kept in the shared checkpoint folder, so that lost executors do not lose it. rows: about how many, if they are narrow."""
+    checkpoint_folder(df.sparkSession)
+    return (df if rows is None else sized(df, rows)).checkpoint()
+
+
+class Scratch:
+    """Tables written below the checkpoint folder. On leaving, those of a passing one are removed; the others are read by a result that is yet to run."""
+
+    def __init__(self, spark: SparkSession, passing: bool = False) -> None:
+        self.spark, self.passing = spark, passing
+        self.at = f"{checkpoint_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        if self.passing:
+            remove(self.spark, self.at)
+
+    def write(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """df, computed once as Parquet, which takes less room than a checkpoint. rows: about how many, if they are narrow."""
+        at, self.n = f"{self.at}/{self.n}", self.n + 1
+        (df if rows is None else sized(df, rows)).write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whichever store it is."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def uniform(*cols: Column | str) -> Column:

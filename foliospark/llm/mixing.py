@@ -3,12 +3,14 @@
 A source with target t and size s repeats each of its documents t / s times: the whole part is certain, the
 fraction is a copy probability. Units duel: two fractions p, q become p + q and 0 (if p + q < 1, the
 winner drawn by p : q) or 1 and p + q - 1 (else), which keeps every unit's expectation and all sums. Blocks of
-units of like size duel in turn; what stays fractional goes up a tree of hash blocks, then over the size strata
-of the source, largest first, and one last unit a source is drawn.
-
-Block keys derive from the row's content, so reruns agree, and a source of any size is split over many blocks.
-Rows: null text has size 0 and is never taken; repeated rows are units of their own; null is a source of its own, ordered last;
-an empty table gives no rows.
+about FAN_IN units of one source and like size duel in turn; what stays fractional goes up a tree of hash blocks, then over the size
+strata of the source, largest first, and one last unit a source is drawn.
+
+A unit is a distinct (id, source, text): rows that repeat are counted before anything is dealt by them, so that a row repeated without
+bound is one unit whose mass is its count times the rate. Block keys derive from the row's content, so reruns agree, and a
+source of any size is split over many blocks.
+Rows: null text has size 0 and is never taken; repeated rows share their unit's copies evenly, to within one; null is a source of its own, ordered
+last; ids may be of any type that groups; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,10 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, uniform
 
 FAN_IN = 64
-UNIT = "struct<h:bigint,p:double,doc_id:bigint,size:bigint,source:string,stratum:int>"
+#: Rows (source, size stratum) up to this many are sent to all executors; more are joined by shuffle.
+BROADCAST_STRATA = 100_000
+#: Equal rows made by one task.
+RUN = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -27,8 +32,8 @@ def word_count(text: Column) -> Column:
 
 
 def unit_key(doc_id: Column, text: Column, seed: int = 17) -> Column:
-    """What tells units apart; equal for rows of the same id and text."""
-    return F.xxhash64(F.lit(seed), doc_id.cast("long"), F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")))
+    """What tells units apart; equal for rows of the same id (as text) and text."""
+    return F.xxhash64(F.lit(seed), doc_id.cast("string"), doc_id.isNull(), F.coalesce(text, F.lit("")))
 
 
 def source_targets(sizes: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
@@ -52,68 +57,86 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, most: f
 
 
 def _fold(units: Column, level: int, seed: int) -> Column:
-    """Units duel in turn. Returns struct(cur: what stays fractional, out: those decided with their copy 0 or 1)."""
+    """Units (array of struct h, p, ..) duel in turn. Returns struct(at, p: the unit that stays fractional; out: index and copy 0 or 1 of the others)."""
+    kind = "struct<at:int,p:double,out:array<struct<at:int,copy:int>>>"
+    hash_of = lambda i: F.get(units, i)["h"]
 
     def settle(acc: Column, x: Column) -> Column:
-        cur, u = acc["cur"], uniform(F.lit(seed), F.lit(level), acc["cur"]["h"], x["h"])
-        total = cur["p"] + x["p"]
+        p, q = acc["p"], F.get(units, x)["p"]
+        u, total = uniform(F.lit(seed), F.lit(level), hash_of(acc["at"]), hash_of(x)), p + q
         small = total < 1.0
-        # small: cur stays (and x is 0) with p(cur) : total. Else: cur is 1 (and x stays) with (1 - p(x)) : (2 - total).
-        cur_stays = F.when(small, F.when(total > 0, u < cur["p"] / total).otherwise(F.lit(False))).otherwise(u >= (1.0 - x["p"]) / (2.0 - total))
-        stays, goes = F.when(cur_stays, cur).otherwise(x), F.when(cur_stays, x).otherwise(cur)
-        rest = F.when(small, total).otherwise(total - 1.0)
-        copy = F.when(small, 0).otherwise(1)
-        return F.struct(
-            F.struct(stays["h"].alias("h"), rest.alias("p"), stays["doc_id"].alias("doc_id"), stays["size"].alias("size"), stays["source"].alias("source"), stays["stratum"].alias("stratum")).alias("cur"),
-            F.concat(acc["out"], F.array(F.struct(goes["h"].alias("h"), goes["doc_id"].alias("doc_id"), goes["size"].alias("size"), goes["source"].alias("source"), copy.alias("copy")))).alias("out"),
-        )
+        # small: cur stays (and x is 0) with p : total. Else: cur is 1 (and x stays) with (1 - q) : (2 - total).
+        stays = F.when(small, F.when(total > 0, u < p / total).otherwise(F.lit(False))).otherwise(u >= (1.0 - q) / (2.0 - total))
+        gone = F.struct(F.when(stays, x).otherwise(acc["at"]).alias("at"), F.when(small, 0).otherwise(1).alias("copy"))
+        return F.struct(F.when(stays, acc["at"]).otherwise(x).alias("at"), F.when(small, total).otherwise(total - 1.0).alias("p"), F.concat(acc["out"], F.array(gone)).alias("out")).cast(kind)
 
-    start = F.struct(units[0].cast(UNIT).alias("cur"), F.expr("cast(array() as array<struct<h:bigint,doc_id:bigint,size:bigint,source:string,copy:int>>)").alias("out"))
-    kind = f"struct<cur:{UNIT},out:array<struct<h:bigint,doc_id:bigint,size:bigint,source:string,copy:int>>>"
-    return F.aggregate(F.slice(units, 2, F.size(units)), start.cast(kind), lambda acc, x: settle(acc, x).cast(kind))
+    start = F.struct(F.lit(0).alias("at"), units[0]["p"].alias("p"), F.expr("cast(array() as array<struct<at:int,copy:int>>)").alias("out")).cast(kind)
+    return F.aggregate(F.when(F.size(units) > 1, F.sequence(F.lit(1), F.size(units) - 1)).otherwise(F.expr("cast(array() as array<int>)")), start, settle)
 
 
-def _order(level_over_strata: bool) -> Column:
-    unit = F.struct("h", "p", "doc_id", "size", "source", "stratum")
-    if not level_over_strata:
-        return F.transform(F.array_sort(F.collect_list(F.struct(F.col("h").alias("k"), F.col("doc_id").alias("d"), unit.alias("u")))), lambda x: x["u"])
-    return F.transform(F.array_sort(F.collect_list(F.struct((-F.col("stratum")).alias("k"), F.col("h").alias("d"), unit.alias("u")))), lambda x: x["u"])
+def _duels(units: DataFrame, keys: list[str], order: list[Column], level: int, seed: int, n: int) -> tuple[DataFrame, DataFrame]:
+    """One level: what stays fractional of each group (keys and unit), and the settled units with their copy. n: about how many units."""
+    held = [c for c in units.columns if c not in keys]
+    sorted_ = F.transform(F.array_sort(F.collect_list(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], F.struct(*held).alias("u")))), lambda x: x["u"])
+    done = units.groupBy(*keys).agg(sorted_.alias("_u")).withColumn("_f", _fold(F.col("_u"), level, seed))
+    unit = lambda i: F.get(F.col("_u"), i)
+    stays = F.struct(*[(F.col("_f")["p"] if c == "p" else unit(F.col("_f")["at"])[c]).alias(c) for c in held])
+    gone = F.transform(F.col("_f")["out"], lambda x: F.struct(unit(x["at"]).alias("u"), x["copy"].alias("copy")))
+    done = cut(done.select(*keys, stays.alias("_cur"), gone.alias("_out")), 8 * n)  # a unit weighs as much as some eight narrow rows
+    return done.select(*keys, "_cur.*"), done.select(*keys, F.inline("_out")).select(*keys, "u.*", "copy")
 
 
 def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (times that the mix takes the document), unit (unit_key of the row)."""
-    rows = cut(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
-            unit_key(F.col("doc_id"), F.col("text"), seed).alias("h"),
-        )
-    )
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
-    targets = cut(source_targets(sizes.drop("_docs"), weights, share, most))
-    n_sources = targets.count()
-    small = F.broadcast(targets) if n_sources <= 100_000 else targets  # else a shuffled join, whose skew AQE splits
-    small = small.withColumnRenamed("source", "_s")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.join(small, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("_r", rate)
-    whole = rows.withColumn("_base", F.floor("_r").cast("int")).withColumn("p", F.col("_r") - F.floor("_r"))
+    """One row a unit: doc_id, source, size, source_size, target, n_rows (rows that are this unit), copies (of all of them), unit (unit_key)."""
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), unit_key(F.col("doc_id"), F.col("text"), seed).alias("h"))
+    rows = cut(rows.groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("n")).withColumn("stratum", F.floor(F.log2(F.greatest("size", F.lit(1))) * 6).cast("int")))
+    strata = cut(rows.groupBy("source", "stratum").agg(F.sum(F.col("size") * F.col("n")).alias("_size"), F.count("*").alias("_units")), 1)
+    targets = source_targets(strata.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, share, most)
+    targets = cut(targets.select(F.col("source").alias("_s"), "source_size", "target"), 1)
+    found = strata.join(targets, F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias("_s"), F.col("stratum").alias("_t"), "source_size", "target", F.ceil(F.col("_units") / FAN_IN).alias("_blocks"))
+    found = cut(found, 1)
+    most_blocks, n_strata, n_units = strata.agg(F.max(F.ceil(F.col("_units") / FAN_IN)), F.count("*"), F.sum("_units")).first()
+    if not n_strata:
+        most_blocks = n_units = 0
+    small = F.broadcast(found) if n_strata <= BROADCAST_STRATA else found  # else a shuffled join, whose skew AQE splits
+
+    mass = F.col("n") * F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    whole = rows.join(small, F.col("source").eqNullSafe(F.col("_s")) & (F.col("stratum") == F.col("_t"))).withColumn("_m", mass)
+    whole = whole.withColumn("base", F.floor("_m").cast("long")).withColumn("p", F.col("_m") - F.floor("_m"))
     certain = (F.col("size") == 0) | (F.col("p") <= 0)
-    units = whole.where(~certain).select("h", "p", "doc_id", "size", "source", F.floor(F.log2("size") * 6).cast("int").alias("stratum"))
+    units = whole.where(~certain).select("source", "stratum", "_blocks", "source_size", "target", "h", "p", "doc_id", "size", "n", "base")
+    shown = ["doc_id", "source", "size", "source_size", "target", F.col("n").alias("n_rows")]
 
-    n = max(1, rows.count())
-    settled, blocks, level = [], -(-n // FAN_IN), 0
-    while True:
+    settled, level, blocks, left = [], 0, most_blocks, n_units
+    tree = ["source", "stratum", "_blocks", "source_size", "target"]
+    while blocks:
         level += 1
-        over_strata = blocks == 0
-        keys = ["source"] if over_strata else ["source", "stratum", F.pmod("h", F.lit(blocks)).alias("_blk")]
-        done = cut(units.groupBy(*keys).agg(_order(over_strata).alias("_u")).select(_fold(F.col("_u"), level, seed).alias("_f")).select("_f.cur", "_f.out"))
-        settled.append(done.select(F.inline("out")))
-        units = done.select("cur.*")
-        if over_strata:
-            break
+        units = units.withColumn("_blk", F.pmod(F.xxhash64(F.lit(level), "h"), F.col("_blocks")))
+        units, out = _duels(units, [*tree, "_blk"], [F.col("h"), F.col("doc_id")], level, seed, left)
+        settled.append(out)
+        units = units.drop("_blk").withColumn("_blocks", F.ceil(F.col("_blocks") / FAN_IN))
+        left = -(-left // FAN_IN) + n_strata
         blocks = 0 if blocks == 1 else -(-blocks // FAN_IN)
-    last = units.select("h", "doc_id", "size", "source", F.when(uniform(F.lit(seed), F.lit("last"), "h") < F.col("p"), 1).otherwise(0).alias("copy"))
+    if n_strata:
+        units, out = _duels(units.drop("_blocks"), ["source", "source_size", "target"], [-F.col("stratum"), F.col("h"), F.col("doc_id")], level + 1, seed, left)
+        settled.append(out)
+    last = units.withColumn("copy", F.when(uniform(F.lit(seed), F.lit("last"), "h") < F.col("p"), 1).otherwise(0))
+    columns = [*shown, (F.col("base") + F.col("copy")).alias("copies"), F.col("h").alias("unit")]
+    drawn = last.select(*columns)
     for s in settled:
-        last = last.unionByName(s)
-    drawn = last.join(small, F.col("source").eqNullSafe(F.col("_s")), "left").select("doc_id", "source", "size", "source_size", "target", (F.floor(F.col("target") / F.col("source_size")) + F.col("copy")).cast("int").alias("copies"), F.col("h").alias("unit"))
-    fixed = whole.where(certain).select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") == 0, 0).otherwise(F.col("_base")).alias("copies"), F.col("h").alias("unit"))
+        drawn = drawn.unionByName(s.select(*columns))
+    fixed = whole.where(certain).select(*shown, F.when(F.col("size") == 0, 0).otherwise(F.col("base")).cast("long").alias("copies"), F.col("h").alias("unit"))
     return drawn.unionByName(fixed)
+
+
+def per_row(units: DataFrame) -> DataFrame:
+    """The units of mix, one row for each row of the input: copies are its own, the unit's shared evenly to within one.
+
+    A unit of over RUN rows is first dealt as runs of rows, so that no task makes them all.
+    """
+    one = lambda df: df.select("*", F.explode(F.sequence(F.col("_from"), F.col("_to"))).alias("_i"))
+    few = units.where(F.col("n_rows") <= RUN).select("*", F.lit(1).cast("long").alias("_from"), F.col("n_rows").alias("_to"))
+    many = units.where(F.col("n_rows") > RUN).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_rows") - 1) / RUN))).alias("_run"))
+    many = many.select("*", (F.col("_run") * RUN + 1).alias("_from"), F.least(F.col("n_rows"), (F.col("_run") + 1) * RUN).alias("_to")).repartition("unit", "_run").drop("_run")
+    share = F.floor(F.col("copies") / F.col("n_rows")) + (F.col("_i") <= F.pmod("copies", "n_rows")).cast("long")
+    return one(few).unionByName(one(many)).withColumn("copies", share.cast("int")).drop("_i", "_from", "_to", "n_rows")

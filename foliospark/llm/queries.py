@@ -43,7 +43,7 @@ def op3_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SHARE, MIX_MOST)
+    m = mixing.per_row(mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SHARE, MIX_MOST))
     return m.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
