@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sized
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,16 +15,16 @@ def components(edges: DataFrame) -> DataFrame:
     task ever holds a component. Each round is cut into the checkpoint folder. Self loops and repeated edges are harmless.
     """
 
-    def large(e: DataFrame) -> DataFrame:
+    def large(e: DataFrame, n: int) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        return sized(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), 2 * n).distinct()
 
-    def small(e: DataFrame) -> DataFrame:
-        down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
+    def small(e: DataFrame, n: int) -> DataFrame:
+        down = sized(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b"), n)
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         out = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
+        return sized(out.where("a <> b"), 2 * n).distinct()
 
     def mark(e: DataFrame) -> tuple:
         r = e.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
@@ -33,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     seen = mark(now)
     while seen[0]:
-        now = cut(small(large(now)))
+        now = cut(small(large(now, seen[0]), seen[0]), seen[0])
         if (new := mark(now)) == seen:
             break
         seen = new
