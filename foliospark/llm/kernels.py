@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -105,12 +106,12 @@ def blocks(ids: list, texts: list[bytes]) -> Iterator[tuple[list, list[bytes]]]:
 def map_texts(df: DataFrame, fn: Callable[[list[bytes]], dict[str, list]], schema: str, id_col: str = "doc_id", text_col: str = "text", id_name: str = "doc_id") -> DataFrame:
     """One row for each row of df: its id and what fn gives for its text (null: empty), a block of texts at a time.
 
-    schema: the columns of fn, as DDL. Arrow batches are bounded in bytes where the session has such a setting.
+    schema: the columns of fn, as DDL. Arrow batches are bounded in bytes by the session's setting for it, which this sets (to 16 MB).
     """
     spark = df.sparkSession
-    with contextlib.suppress(Exception):  # an older Spark has no such setting
-        spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    with contextlib.suppress(PySparkException):  # an older Spark has no such setting
+        if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != "16m":
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     kind = df.schema[id_col].dataType.simpleString()
     types = to_arrow_schema(_parse_datatype_string(schema))
 

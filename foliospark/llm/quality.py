@@ -175,7 +175,7 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 2e-3) -> Model:
         return Model(0.0, [])
     share = float(y.mean())
     if share in (0.0, 1.0):
-        return Model(9.0 if share else -9.0, [])
+        return Model(math.inf if share else -math.inf, [])
     rules = tree_rules(x, y)
     held = np.stack([r.holds(x) for r in rules], axis=1)
     _, first = np.unique(held, axis=1, return_index=True)  # rules that hold for the same rows count once
@@ -188,7 +188,7 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 2e-3) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", folds: int = 4, fold: int = 2, max_rows: int = 12_000) -> Model:
     rows = training_rows(docs, labels, target, folds, fold, max_rows)
-    got = np.array(sorted(map(tuple, map_texts(rows, _stat_columns, SCHEMA, "y", "text", "y").collect())), float).reshape(-1, len(STATS) + 1)  # bounded by max_rows
+    got = np.array(sorted(map(tuple, map_texts(rows, _stat_columns, SCHEMA, "y", "text", "y").collect())), float).reshape(-1, len(STATS) + 1)  # one row a document, at most max_rows
     return fit(got[:, 1:], got[:, 0])
 
 

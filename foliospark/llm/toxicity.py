@@ -4,7 +4,8 @@ A document is a bag of sentences; a sentence's score is logistic in its features
 1 - prod(1 - p). Only documents have labels; the sentence weights are fitted through the noisy-or, and the sentences of high score are the offending ones.
 
 Features are words and their beginnings of 3 to 6 letters. Those that tell toxic documents apart (a G-test over the training rows, positive
-association) are kept, at most `max_features`. Training reads at most `max_rows` labelled documents, drawn by a hash of the id.
+association) are kept, at most `max_features`. Training reads at most `max_rows` labelled documents, drawn by a hash of the id, whole; it fits on at most
+`max_sentences` sentences with features of each (the others count as without). Scoring reads all sentences of all documents.
 
 Null and empty texts have no sentences and score 0. Null ids or labels are not learnt from; repeated labels of one id count once (the larger). Without
 both classes every weight is 0. Extra columns are ignored.
@@ -43,13 +44,16 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, target: str, folds: int, fold: int, max_rows: int) -> DataFrame:
-    """text and y of at most max_rows labelled documents outside the held-out fold: the least by a hash of the id.
+    """text and y of at most max_rows labelled documents outside the held-out fold: the least by a hash of the id, one row each.
 
-    The ids are bounded by max_rows, so they are broadcast and the texts stay where they are.
+    The ids are bounded by max_rows, so they are broadcast and the texts stay where they are. Of rows that share an id the text of the
+    least hash counts, null as empty.
     """
     y = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
     y = y.groupBy("doc_id").agg(F.max(target).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.struct(F.xxhash64(text).alias("h"), text.alias("text")).alias("t")).join(F.broadcast(y), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min("t").alias("t")).select("t.text", "y")
 
 
 def _document_features(texts: list[bytes]) -> dict[str, list]:
@@ -75,8 +79,8 @@ def select_features(rows: DataFrame, max_features: int, least: int = 3) -> list[
     return [r["f"] for r in best.collect()]
 
 
-def _bags(texts: list[bytes], index: dict[str, int]) -> dict[str, list]:
-    """For each text: how many sentences it has, and the features of those that have any."""
+def _bags(texts: list[bytes], index: dict[str, int], most: int) -> dict[str, list]:
+    """For each text: how many sentences it has, and the features of those that have any; of the `most` with most features, where more have."""
     sizes, bags = [], []
     for t in texts:
         n, found = 0, []
@@ -88,7 +92,7 @@ def _bags(texts: list[bytes], index: dict[str, int]) -> dict[str, list]:
                 if got:
                     found.append(got)
         sizes.append(n)
-        bags.append(found)
+        bags.append(found if len(found) <= most else sorted(found, key=lambda f: (-len(f), f))[:most])
     return {"sentences": sizes, "bags": bags}
 
 
@@ -123,13 +127,14 @@ def fit_noisy_or(y: np.ndarray, sentences: np.ndarray, bags: list[list[list[int]
     return float(theta[0]), theta[1:]
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", folds: int = 5, fold: int = 0, max_rows: int = 10_000, max_features: int = 1_500) -> Model:
+def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", folds: int = 5, fold: int = 0, max_rows: int = 10_000, max_features: int = 1_500, max_sentences: int = 256) -> Model:
+    """The driver holds at most max_rows x max_sentences sentences, of at most max_features features each."""
     rows = training_rows(docs, labels, target, folds, fold, max_rows)
     names = select_features(rows, max_features)
     if not names:
         return Model(-12.0, {})
     index = {f: i for i, f in enumerate(names)}
-    got = map_texts(rows, lambda texts: _bags(texts, index), "sentences long, bags array<array<int>>", "y", "text", "y").collect()  # bounded by max_rows; features are the kept ones
+    got = map_texts(rows, lambda texts: _bags(texts, index, max_sentences), "sentences long, bags array<array<int>>", "y", "text", "y").collect()  # one row a document, at most max_rows
     got = sorted(got, key=lambda r: (r["y"], r["sentences"], r["bags"]))
     b, w = fit_noisy_or(np.array([r["y"] for r in got]), np.array([r["sentences"] for r in got], float), [r["bags"] for r in got], len(names))
     return Model(b, {f: float(x) for f, x in zip(names, w, strict=True) if x > 1e-3})
