@@ -4,8 +4,9 @@ A window is SPAN consecutive words of a benchmark item; an item with fewer words
 of every SPAN - GRAM + 1 neighbouring ones, so two texts that share SPAN words share a kept hash. Kept hashes of documents that occur among the
 items' are extended: the windows that hold them are looked up, and their words are hit. Windows of short items are looked up as they are.
 
-A benchmark of up to `broadcast_bytes` of text is indexed once and sent to the executors; beyond, kept hashes are joined by shuffle (`distributed=True`),
-with the same result.
+A benchmark of up to `broadcast_bytes` of text is indexed once, as sorted arrays of some three times its bytes, and sent to the executors; beyond, windows
+that hold a kept hash are joined by shuffle (`distributed=True`), with the same result. There, items are listed once for each distinct combination of windows'
+owner sets, so that a window of all documents and items does not make rows of all pairs.
 
 Null and empty texts have no words and no hits; items without words are ignored; a null item_id counts as the empty string; repeated items and
 rows count once for each distinct id or each row; an empty benchmark leaves every document clean.
@@ -14,15 +15,18 @@ rows count once for each distinct id or each row; an empty benchmark leaves ever
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .kernels import ALNUM, U, Words, map_texts, winnow
 
 SPAN, GRAM = 10, 5
+#: A word before its letters are lowered.
+ALNUM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -85,12 +89,15 @@ def _in(values: np.ndarray, held: np.ndarray) -> np.ndarray:
     return held[np.minimum(np.searchsorted(held, values), len(held) - 1)] == values
 
 
-def _row(n_words: int, spans: list[tuple[int, int]], items: set[str]) -> tuple[int, int, int, str, bool]:
-    hit = last = 0
-    for a, b in sorted(spans):
-        hit += max(0, b - max(a, last))
-        last = max(last, b)
-    return n_words, hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), hit > 0
+def _digest(items: list[str]) -> str:
+    return hashlib.sha256(",".join(items).encode()).hexdigest()
+
+
+def _covered(starts: np.ndarray, sizes: np.ndarray) -> int:
+    """Words in the union of the windows; starts ascend."""
+    ends = starts + sizes
+    before = np.maximum.accumulate(np.r_[starts[0], ends[:-1]])
+    return int(np.maximum(0, ends - np.maximum(starts, before)).sum())
 
 
 COLUMNS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -106,32 +113,46 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     return _joined(docs, items, id_col, text_col) if distributed else _indexed(docs, items, id_col, text_col)
 
 
+class Index:
+    """Items as sorted arrays: kept hashes; hashes of short windows by length; windows, and for each its owners as ranks among the sorted ids."""
+
+    def __init__(self, items: pa.Table) -> None:
+        """items: item_id, windows, size, kept."""
+        flat = lambda name: (items.column(name).combine_chunks(), np.diff(items.column(name).combine_chunks().offsets.to_numpy()))
+        (windows, lengths), (kept, _) = flat("windows"), flat("kept")
+        value, size = windows.flatten().to_numpy(), np.repeat(items.column("size").to_numpy(), lengths)
+        self.short = {int(n): np.unique(value[size == n]) for n in np.unique(size[size < SPAN])}
+        self.ids = sorted(set(items.column("item_id").to_pylist()))
+        rank = {s: i for i, s in enumerate(self.ids)}
+        owner = np.repeat(np.array([rank[s] for s in items.column("item_id").to_pylist()], np.int32), lengths)
+        pairs = np.lexsort((owner, value))
+        value, owner = value[pairs], owner[pairs]
+        new = np.r_[True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])] if len(value) else np.zeros(0, bool)
+        value, self.owners = value[new], owner[new]
+        self.windows, self.first = np.unique(value, return_index=True)
+        self.first = np.r_[self.first, len(value)]
+        self.kept = np.unique(kept.flatten().to_numpy())
+
+
 def _indexed(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    owners: dict[int, set[str]] = defaultdict(set)
-    kept: set[int] = set()
-    short: dict[int, set[int]] = defaultdict(set)
-    for r in items.where("size > 0").collect():  # bounded: find() has checked the benchmark's bytes
-        kept.update(r["kept"])
-        for h in r["windows"]:
-            owners[h].add(r["item_id"])
-            if r["size"] < SPAN:
-                short[r["size"]].add(h)
-    index = docs.sparkSession.sparkContext.broadcast(
-        (np.array(sorted(kept), np.int64), {n: np.array(sorted(h), np.int64) for n, h in short.items()}, np.array(sorted(owners), np.int64), dict(owners))
-    )
+    index = docs.sparkSession.sparkContext.broadcast(Index(items.where("size > 0").toArrow()))  # bounded: find() has checked the benchmark's bytes
 
     def run(texts: list[bytes]) -> dict[str, list]:
-        held, by_size, windows, of = index.value
+        x = index.value
         w = Words(texts, ALNUM)
-        f = Found(w, held, by_size)
-        real = _in(f.value, windows)
-        spans: dict[int, list] = defaultdict(list)
-        got: dict[int, set[str]] = defaultdict(set)
-        for p, n, v in zip(f.pos[real].tolist(), f.size[real].tolist(), f.value[real].tolist(), strict=True):
-            d = int(w.doc[p])
-            spans[d].append((p, p + n))
-            got[d] |= of[v]
-        rows = [_row(int(w.bounds[i + 1] - w.bounds[i]), spans[i], got[i]) for i in range(len(texts))]
+        f = Found(w, x.kept, x.short)
+        real = np.flatnonzero(_in(f.value, x.windows))
+        real = real[np.argsort(f.pos[real], kind="stable")]
+        pos, size, win = f.pos[real], f.size[real], np.searchsorted(x.windows, f.value[real])
+        cuts = np.searchsorted(pos, w.bounds)
+        rows = []
+        for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            hit, own = 0, []
+            if b > a:
+                hit = _covered(pos[a:b], size[a:b])
+                ranks = np.unique(np.concatenate([x.owners[x.first[k] : x.first[k + 1]] for k in np.unique(win[a:b])]))
+                own = [x.ids[k] for k in ranks.tolist()]
+            rows.append((int(w.bounds[i + 1] - w.bounds[i]), hit, len(own), _digest(own), hit > 0))
         return dict(zip(NAMES, map(list, zip(*rows, strict=True)), strict=True))
 
     return map_texts(docs, run, COLUMNS, id_col, text_col)
@@ -157,15 +178,23 @@ def _joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> Da
         pos, size, value = pos[order], size[order], value[order]
         cuts = np.searchsorted(pos, w.bounds)
         out = [[{"pos": int(p - w.bounds[i]), "size": int(n), "value": int(v)} for p, n, v in zip(pos[a:b], size[a:b], value[a:b], strict=True)] for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
-        return {"n_words": np.diff(w.bounds).tolist(), "found": out}
+        return {"found": out}
 
-    found = map_texts(keyed.dropDuplicates(["_key"]), run, "n_words long, found array<struct<pos:int,size:int,value:long>>", "_key", "text", "_key")
+    distinct = keyed.dropDuplicates(["_key"])
+    found = map_texts(distinct, run, "found array<struct<pos:int,size:int,value:long>>", "_key", "text", "_key")
     windows = items.where("size > 0").select("item_id", "size", F.explode("windows").alias("value")).distinct()
-    hits = found.select("_key", F.inline("found")).join(windows, ["value", "size"]).select("_key", "pos", "size", "item_id")
+    # the items of each window as one number, and for each such set one window that has it
+    owned = windows.groupBy("value", "size").agg(F.count("*").alias("k"), F.sum(F.xxhash64("item_id").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64(F.lit(1), "item_id").cast("decimal(38,0)")).alias("t"))
+    owned = cut(owned.select("value", "size", F.xxhash64("k", "s", "t").alias("set")))
+    some = owned.groupBy("set").agg(F.min(F.struct("value", "size")).alias("w")).select("set", "w.value", "w.size")
+    hits = cut(found.select("_key", F.inline("found")).join(owned, ["value", "size"]).select("_key", "pos", "size", "set"))
     words = hits.select("_key", F.explode(F.sequence("pos", F.col("pos") + F.col("size") - 1)).alias("word")).distinct().groupBy("_key").agg(F.count("*").alias("n_hit"))
-    named = hits.select("_key", "item_id").distinct().groupBy("_key").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("_ids"))  # a text's own items
-    per = found.select("_key", "n_words").join(words, "_key", "left").join(named, "_key", "left")
+    mixes = hits.groupBy("_key").agg(F.array_sort(F.collect_set("set")).alias("sets")).withColumn("mix", F.xxhash64("sets"))  # a text's own
+    items_of = mixes.groupBy("mix").agg(F.first("sets").alias("sets")).select("mix", F.explode("sets").alias("set")).join(some, "set").join(windows, ["value", "size"])
+    named = items_of.select("mix", "item_id").distinct().groupBy("mix").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("_ids"))  # what one digest is of
+    ids = F.array_join(F.coalesce("_ids", F.array().cast("array<string>")), ",")
+    digests = named.select("mix", "n_items", F.sha2(F.encode(ids, "UTF-8"), 256).alias("items_sha256"))
+    per = distinct.select("_key", F.regexp_count("text", F.lit(ALNUM_WORD)).cast("long").alias("n_words")).join(words, "_key", "left").join(mixes.select("_key", "mix"), "_key", "left").join(digests, "mix", "left")
     out = keyed.select("doc_id", "_key").join(per, "_key")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    ids = F.array_join(F.coalesce("_ids", F.array().cast("array<string>")), ",")
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.encode(ids, "UTF-8"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.lit(_digest([]))).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
