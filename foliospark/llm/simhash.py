@@ -51,7 +51,7 @@ def likeness(a: Column, b: Column) -> Column:
     return F.lit(1.0) - F.bit_count(a.bitwiseXOR(b)) / F.lit(64.0)
 
 
-def _range_bucket(x: Column, bounds: list[int]) -> Column:
+def _range_bucket(x: Column, bounds: list) -> Column:
     """Index of the last bound <= x (bounds[0] <= every x), by binary search."""
     steps = [1 << k for k in range((len(bounds) - 1).bit_length() - 1, -1, -1)] or [0]
     held = F.lit(bounds)
@@ -62,15 +62,20 @@ def next_document(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """docs in ascending id order, dealt by ranges of the id, each with the text of the next (after the last: the first).
 
     Columns: _b (range), _n (order in it), _own (false: a copy of the next range's first row, kept to look ahead), doc_id, text, next_text.
-    Ranges start at ids that occur, found as approximate percentiles; the row at a start is also sent to the range before.
-    Null ids come first; equal ids are ordered by a hash of their text; null text counts as empty. Empty in, empty out.
+    Whole-number ids are in their own order, others in that of their text. Ranges start at ids that occur: approximate percentiles, or, of
+    texts, the ids that are least by a hash. Rows of one id share a range. The first row of a range is also sent to the range before. Null ids
+    come first; equal ids are ordered by a hash of their text; null text counts as empty. Empty in, empty out.
     """
     spark = docs.sparkSession
     parts = max(1, min(4096, 4 * shuffle_partitions(spark)))
-    o = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    found = docs.select(o.alias("o")).agg(F.min("o").alias("lo"), F.percentile_approx("o", [i / parts for i in range(parts)], 20 * parts).alias("q")).first()
-    bounds = sorted({found["lo"], *found["q"]}) if found and found["q"] else [0]
+    whole = docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    o = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))) if whole else F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     d = docs.select(o.alias("_o"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    marks = F.percentile_approx("_o", [i / parts for i in range(parts)], 20 * parts) if whole else F.lit(None)
+    lo, inner = d.agg(F.min("_o"), marks).first()
+    if not whole:
+        inner = [r["_o"] for r in d.select("_o").distinct().orderBy(F.xxhash64("_o"), "_o").limit(parts).collect()]
+    bounds = sorted({lo, *(inner or [])}) if lo is not None else [0 if whole else ""]
     d = d.withColumn("_k", _range_bucket(F.col("_o"), bounds))
     starts = F.get(F.lit(bounds), F.col("_k")) == F.col("_o")
     here = F.struct(F.col("_k").alias("_b"), F.lit(0).alias("_late"))
