@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import stages
+from foliospark.llm import common, stages
 
 STAGES = [
     ("toxicity", stages.drop_toxic),
@@ -22,12 +21,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet below the shared checkpoint folder (a folder of the machine only where none is set)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="foliospark-")
-    at = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """All stages, each written as Parquet below the shared checkpoint folder. A stage's input is removed once its result is written; the last result stays."""
+    at = f"{common.checkpoint_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         out = f"{at}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if i:
+            common.remove(spark, f"{at}/{i - 1}-{STAGES[i - 1][0]}")
     return docs

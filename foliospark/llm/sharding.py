@@ -9,7 +9,7 @@ only keys that enter or leave that subtree.
 move into the new shard only.
 
 Rows: null ids draw as one key; repeated ids share a shard; null text has size 1 and the checksum of no bytes;
-an empty table gives no rows. Columns of the input that are not asked for are not carried.
+an empty table gives no rows. `assign` carries no other columns of the input, `place` all.
 """
 
 from __future__ import annotations
@@ -64,29 +64,42 @@ def descend(node: Node, *key: Column) -> Column:
     return out
 
 
-def assign(docs: DataFrame, root: Node, grown: Node | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc id, size (UTF-8 bytes and 1), text_crc32, shard, slot (gapless in each shard), grown_shard.
+def _shards(node: Node) -> int:
+    return sum(map(_shards, node.children)) if node.children else 1
+
+
+COLUMNS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
-    A slot is a prefix sum over small hash buckets of each shard plus the rank within the bucket, so that no
-    task holds a whole shard.
-    """
-    spark = docs.sparkSession
+
+def _drawn(docs: DataFrame, root: Node, grown: Node | None, id_col: str, text_col: str, more: list[Column]) -> DataFrame:
     key = F.col(id_col)
-    data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
+    text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        key.alias("doc_id"),
-        (F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 1).cast("long").alias("size"),
-        F.crc32(data).alias("text_crc32"),
-        descend(root, key.cast("string")).cast("int").alias("shard"),
-        (descend(grown, key.cast("string")) if grown else F.lit(None)).cast("int").alias("grown_shard"),
+        key.alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("key").alias("law"),
+        descend(root, key.cast("string")).cast("int").alias("shard"), (descend(grown, key.cast("string")) if grown else F.lit(None)).cast("int").alias("grown_shard"), *more,
     )
-    buckets = 4 * shuffle_partitions(spark)
-    rows = cut(rows.withColumn("_b", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).cast("int")))
-    counts = rows.groupBy("shard", "_b").agg(F.count("*").alias("_n"))
+    buckets = -(-4 * shuffle_partitions(docs.sparkSession) // _shards(root))
+    return rows.withColumn("_b", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).cast("int"))
+
+
+def _slotted(rows: DataFrame, narrow: DataFrame) -> DataFrame:
+    """rows with their slot: a prefix sum over small hash buckets of each shard plus the rank within the bucket, so that no task holds a whole shard."""
+    counts = narrow.groupBy("shard", "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))  # at most shards x buckets rows
+    offsets = counts.select("shard", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))  # about four rows a shuffle partition, one a shard at least
     rank = Window.partitionBy("shard", "_b").orderBy("doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("_rn", F.row_number().over(rank))
-    return ranked.join(offsets, ["shard", "_b"]).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_off") + F.col("_rn") - 1).cast("long").alias("slot"), "grown_shard"
-    )
+    return rows.withColumn("_rn", F.row_number().over(rank)).join(offsets, ["shard", "_b"]).withColumn("slot", (F.col("_off") + F.col("_rn") - 1).cast("long"))
+
+
+def assign(docs: DataFrame, root: Node, grown: Node | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and COLUMNS: size (UTF-8 bytes and 1), text_crc32, law, shard, slot (gapless in each shard), grown_shard."""
+    rows = cut(_drawn(docs, root, grown, id_col, text_col, []))
+    return _slotted(rows, rows).select("doc_id", *COLUMNS)
+
+
+def place(docs: DataFrame, root: Node, grown: Node | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with COLUMNS of assign, dealt by shard. A column of docs of one of these names gives way to the new one."""
+    kept = [c for c in docs.columns if c not in COLUMNS]
+    rows = _drawn(docs, root, grown, id_col, text_col, [F.col(f"`{c}`").alias(f"_d{i}") for i, c in enumerate(kept)])
+    out = _slotted(rows, _drawn(docs, root, grown, id_col, text_col, []))
+    return out.select(*[F.col(f"_d{i}").alias(c) for i, c in enumerate(kept)], *COLUMNS)
