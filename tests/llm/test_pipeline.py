@@ -3,7 +3,9 @@
 from collections import Counter
 
 import corpus_pipeline
-from foliospark.llm import stages, toxicity
+from pyspark.sql import functions as F
+
+from foliospark.llm import mixing, sharding, stages, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,7 +17,7 @@ def test_pipeline(spark, tmp_path):
         stage(spark, docs, SF).write.parquet(f"{tmp_path}/{i}")
         docs = spark.read.parquet(f"{tmp_path}/{i}")
         counts.append(docs.count())
-        assert i == len(corpus_pipeline.STAGES) - 1 or docs.columns == columns
+        assert docs.columns == columns if i < len(corpus_pipeline.STAGES) - 1 else docs.columns == [*columns, *sharding.COLUMNS]
     assert counts[1] < counts[0] and counts[2] < counts[1] and counts[3] <= counts[2] and counts[5] == counts[4]
     assert corpus_pipeline.run(spark, SF).count() == counts[5]
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
@@ -23,6 +25,10 @@ def test_pipeline(spark, tmp_path):
         assert stage(spark, empty, SF).count() == 0
 
 
+#: Names that the stages use inside.
+CLASH = ("_row", "_u", "_c", "_i", "_s", "_d0", "_d1", "_k", "_from", "_each", "_rest", "unit", "copies", "component_id", "score", "shard", "slot", "size")
+
+
 def sentence(seed, n=60):
     return " ".join(f"{'bcdfghklmn'[(seed + j) % 10]}{'aeiou'[j % 5]}{seed}x{j}" for j in range(n))
 
@@ -64,9 +70,10 @@ def test_stages_decide_by_row(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(1, LEAK)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(1, 1)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in ROWS], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs = docs.select("*", *[F.lit("x").alias(c) for c in CLASH])
 
     def rows(d):
-        assert d.columns == docs.columns
+        assert d.columns == docs.columns and d.where(" or ".join(f"{c} <> 'x'" for c in CLASH)).count() == 0
         return Counter((r["doc_id"], r["text"]) for r in d.collect())
 
     assert rows(stages.drop_toxic(spark, docs, str(tmp_path))) == Counter(r for r in ROWS if "nastyword" not in (r[1] or ""))
@@ -81,3 +88,25 @@ def test_stages_decide_by_row(spark, tmp_path, monkeypatch):
         if sets[g]:
             assert len(kept) == 1 and (kept[0][0] is None, kept[0][0] or 0) == least[g]
     assert Counter({r: n for r, n in got.items() if not shingles(r[1])}) == Counter(r for r in ROWS if not shingles(r[1]))
+
+
+def test_mixing_stage_gives_whole_copies(spark):
+    rows = [(i % 6 if i % 7 else None, f"{sentence(i % 5, 9)}", "en", ["a", "b", None][i % 3], 0) for i in range(60)] + [(900, "", "en", "a", 0), (901, None, "en", "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").select("*", *[F.lit("x").alias(c) for c in CLASH])
+    units = {(r["doc_id"], r["source"], r["unit"]): r for r in mixing.mix(docs, stages.MIX_WEIGHTS, stages.MIX_SHARE, stages.MIX_MOST).collect()}
+    out = stages.mix_sources(spark, docs, "")
+    assert out.columns == docs.columns and out.where(" or ".join(f"{c} <> 'x'" for c in CLASH)).count() == 0
+    keyed = out.withColumn("unit_", mixing.unit_key(F.col("doc_id"), F.col("text")))
+    got = Counter((r["doc_id"], r["source"], r["unit_"]) for r in keyed.collect())
+    assert got == Counter({k: r["copies"] for k, r in units.items() if r["copies"]})
+    assert sum(r["n_rows"] for r in units.values()) == len(rows)
+    again = stages.mix_sources(spark, docs.repartition(5), "").groupBy("doc_id", "text", "source").count()
+    assert Counter(map(tuple, again.collect())) == Counter(map(tuple, out.groupBy("doc_id", "text", "source").count().collect()))
+
+
+def test_sharding_stage_keeps_documents(spark):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in ROWS], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = stages.shard(spark, docs, "")
+    assert Counter((r["doc_id"], r["text"], r["lang"], r["source"]) for r in out.collect()) == Counter((i, t, "en", "s") for i, t in ROWS)
+    for _, g in out.toPandas().groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
