@@ -33,13 +33,13 @@ def pad_batch(images: list[np.ndarray], multiple: int = 4, fill: float = 1.0) ->
 
 
 def recognize(lines: DataFrame, load: Callable[[], Callable[[list[bytes]], list[tuple[str, float]]]], batch: int = 16) -> DataFrame:
-    """path, text, confidence of line images (path, image) by any recogniser; `load` runs once a worker. Blank text becomes [Line]."""
+    """path, text, confidence of line images (path, image) by any recogniser; `load` runs once a worker. Blank texts stay: ocr.recognised_blocks numbers them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
         for b in batches:
             paths, images = b.column(0).to_pylist(), b.column(1).to_pylist()
             got = [r for i in range(0, len(images), batch) for r in model(images[i : i + batch])]
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([t if t.strip() else "[Line]" for t, _ in got], pa.string()), pa.array([c for _, c in got], pa.float64())], ["path", "text", "confidence"])
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([t for t, _ in got], pa.string()), pa.array([c for _, c in got], pa.float64())], ["path", "text", "confidence"])
 
     return lines.select("path", "image").mapInArrow(run, "path string, text string, confidence double")

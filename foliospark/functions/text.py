@@ -15,13 +15,19 @@ SECTION = r"^(\d+\s*\.\s*\d+(?:\s*\.\s*\d+)?)\s*(.*)$"
 LONG_LINE = 120
 
 
+#: White space of Unicode, as a character class.
+SPACE_KIND = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    """c without white space at its ends."""
+    return F.trim(c, F.lit(SPACES))
 
 
 def tokens(c: Column) -> Column:
-    """White-space tokens."""
-    return F.filter(F.split(c, r"\s+"), lambda t: t != "")
+    """Tokens between white space."""
+    return F.filter(F.split(c, f"[{SPACE_KIND}]+"), lambda t: t != "")
 
 
 def token_count(c: Column) -> Column:
@@ -34,14 +40,11 @@ def document_id(content: Column) -> Column:
 
 def roman_value(c: Column) -> Column:
     """Digits as they are; else roman letters: each counts minus where a larger one follows; other letters count 0; at least 1."""
-    letters = F.split(F.lower(F.trim(c)), "")
+    letters = F.split(F.lower(strip(c)), "")
     values = F.transform(F.filter(letters, lambda x: x != ""), lambda x: F.coalesce(F.when(x == "i", 1).when(x == "v", 5).when(x == "x", 10).when(x == "l", 50).when(x == "c", 100).when(x == "d", 500).when(x == "m", 1000), F.lit(0)))
     start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("after"))
     total = F.aggregate(F.reverse(values), start, lambda acc, v: F.struct((acc["total"] + F.when(v >= acc["after"], v).otherwise(-v)).alias("total"), v.alias("after")))["total"]
-    return F.when(F.trim(c).rlike(r"^\d+$"), F.trim(c).cast("int")).otherwise(F.when(total > 0, total).otherwise(1))
-
-
-SPACE_KIND = r"\s\x1c-\x1f\x85\u00A0"
+    return F.when(strip(c).rlike(r"^\d+$"), strip(c).cast("int")).otherwise(F.when(total > 0, total).otherwise(1))
 
 
 def character_counts(text: Column) -> dict[str, Column]:

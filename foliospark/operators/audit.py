@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 D = "document_id"
 OK_MESSAGE = "Document structure is internally consistent and verified."
 
@@ -15,7 +17,8 @@ def _at_least_zero(c: Column, places: int | None = None) -> Column:
 
 
 def _with_all(documents: DataFrame, *parts: DataFrame) -> DataFrame:
-    out = documents.select(D).distinct()
+    """One row a document (a table of ids alone has each once), with the parts' columns."""
+    out = documents if documents.columns == [D] else documents.select(D).distinct()
     for p in parts:
         out = out.join(p, D, "left")
     return out
@@ -61,7 +64,7 @@ def section_numbering(documents: DataFrame, chapters: DataFrame, sections: DataF
     n = sections.groupBy(D).agg(F.count("*").alias("total_sections"))
     dup = duplicate_ids(sections, "section_id").groupBy(D).agg(F.count("*").alias("_dup"))
     several = chapters.groupBy(D).agg(F.count("*").alias("_chapters"))
-    prefix = F.regexp_extract(F.trim("title"), r"^(\d+)\.\d+", 1)
+    prefix = F.regexp_extract(strip(F.col("title")), r"^(\d+)\.\d+", 1)
     j = sections.select(D, "chapter_id", "title").join(chapters.select(D, "chapter_id", "number"), [D, "chapter_id"]).join(several, D)
     odd = j.where((F.col("number") != 0) & (F.col("_chapters") > 1) & (prefix != "") & (prefix != F.col("number").cast("string"))).groupBy(D).agg(F.count("*").alias("_odd"))
     a = _with_all(documents, n, dup, odd)
@@ -106,7 +109,7 @@ def reading_order(documents: DataFrame, regions: DataFrame, position: str = "reg
 
 def repeated_headings(regions: DataFrame) -> DataFrame:
     """Lower-cased headings of over 5 characters, and how often they occur in the document."""
-    t = F.lower(F.trim("text"))
+    t = F.lower(strip(F.col("text")))
     return regions.where(F.col("type").isin("HEADING", "SUBHEADING") & (F.length(t) > 5)).groupBy(D, t.alias("heading")).agg(F.count("*").alias("occurrences"))
 
 
@@ -157,26 +160,41 @@ def chunk_alignment(documents: DataFrame, chapters: DataFrame, chunks: DataFrame
     return a.select(D, _n("total_chunks").alias("total_chunks"), _n("misaligned_chunks").alias("misaligned_chunks"), _at_least_zero(score, 3).alias("score"))
 
 
-def metrics(documents: DataFrame, pages: DataFrame, regions: DataFrame, chapters: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The ten metrics of each document in one row."""
+def details(documents: DataFrame, pages: DataFrame, regions: DataFrame, chapters: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row a document with a struct for each of the ten categories."""
+    ids = documents.select(D).distinct()
     parts = {
-        "heading_hierarchy": heading_hierarchy(documents, regions, chapters).select(D, "score"),
-        "chapter_numbering": chapter_numbering(documents, chapters).select(D, "score"),
-        "section_numbering": section_numbering(documents, chapters, sections).select(D, "score"),
-        "parent_child_integrity": parent_child(documents, chapters, chunks).select(D, "score"),
-        "page_boundary_integrity": page_boundaries(documents, pages, chapters, chunks).select(D, "score"),
-        "reading_order": reading_order(documents, regions, "reading_order").select(D, "score"),
-        "duplicate_heading_rate": duplicate_headings(documents, regions).select(D, F.col("duplicate_rate").alias("score")),
-        "empty_chapter_rate": empty_chapters(documents, chapters, chunks).select(D, F.col("empty_rate").alias("score")),
-        "cross_boundary_section_rate": cross_boundary(documents, chapters, sections).select(D, F.col("rate").alias("score")),
-        "chunk_alignment": chunk_alignment(documents, chapters, chunks).select(D, "score"),
+        "heading_hierarchy": heading_hierarchy(ids, regions, chapters),
+        "chapter_numbering": chapter_numbering(ids, chapters),
+        "section_numbering": section_numbering(ids, chapters, sections),
+        "parent_child_integrity": parent_child(ids, chapters, chunks),
+        "page_boundary_integrity": page_boundaries(ids, pages, chapters, chunks),
+        "reading_order": reading_order(ids, regions),
+        "duplicate_headings": duplicate_headings(ids, regions),
+        "empty_chapters": empty_chapters(ids, chapters, chunks),
+        "cross_boundary_sections": cross_boundary(ids, chapters, sections),
+        "chunk_alignment": chunk_alignment(ids, chapters, chunks),
     }
-    out = documents.select(D).distinct()
+    out = ids
     for name, p in parts.items():
-        out = out.join(p.withColumnRenamed("score", name), D, "left")
+        out = out.join(p.select(D, F.struct(*[c for c in p.columns if c != D]).alias(name)), D, "left")
     return out
 
 
+#: Of each metric the category and its field.
+METRICS = {
+    "heading_hierarchy": "heading_hierarchy.score", "chapter_numbering": "chapter_numbering.score", "section_numbering": "section_numbering.score",
+    "parent_child_integrity": "parent_child_integrity.score", "page_boundary_integrity": "page_boundary_integrity.score", "reading_order": "reading_order.score",
+    "duplicate_heading_rate": "duplicate_headings.duplicate_rate", "empty_chapter_rate": "empty_chapters.empty_rate",
+    "cross_boundary_section_rate": "cross_boundary_sections.rate", "chunk_alignment": "chunk_alignment.score",
+}
+
+
+def metrics(documents: DataFrame, pages: DataFrame, regions: DataFrame, chapters: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The ten metrics of each document in one row."""
+    return details(documents, pages, regions, chapters, sections, chunks).select(D, *[F.col(at).alias(name) for name, at in METRICS.items()])
+
+
 def recommendations(m: DataFrame) -> DataFrame:
     """document_id and its recommendations, one a row, in order."""
     said = F.array_compact(F.array(
@@ -212,13 +230,90 @@ def issues(documents: DataFrame, pages: DataFrame, regions: DataFrame, chapters:
     return out
 
 
-def markdown(m: DataFrame, said: DataFrame) -> DataFrame:
-    """document_id and its report as Markdown."""
+def _listed(values: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(values, ", "), F.lit("]"))
+
+
+def _quoted(values: Column) -> Column:
+    return _listed(F.transform(values, lambda v: F.concat(F.lit("'"), v.cast("string"), F.lit("'"))))
+
+
+def messages(documents: DataFrame, pages: DataFrame, regions: DataFrame, chapters: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:
+    """What a report says of each issue: document_id, category_no, position, severity, message. Values within a message ascend."""
+
+    def say(df: DataFrame, no: int, severity: str, message: Column, position: Column | None = None) -> DataFrame:
+        return df.select(D, F.lit(no).cast("long").alias("category_no"), (position if position is not None else F.lit(0)).cast("long").alias("position"), F.lit(severity).alias("severity"), message.alias("message"))
+
+    counted = lambda a, c, b: F.concat(F.lit(a), F.col(c).cast("string"), F.lit(b))
+    gathered = lambda df, c: df.groupBy(D).agg(F.array_sort(F.collect_list(c)).alias("v"))
+    twice = gathered(duplicate_ids(chapters.where("number <> 0"), "number"), F.col("number"))
+    gaps = gathered(number_gaps(chapters), F.struct("number", "next_number"))
+    pair = lambda v: F.concat(F.lit("("), v["number"].cast("string"), F.lit(", "), v["next_number"].cast("string"), F.lit(")"))
+    secs, parents = section_numbering(documents, chapters, sections), parent_child(documents, chapters, chunks)
+    top = pages.groupBy(D).agg(F.max("page_number").alias("max_page"))
+    bad = chapters.join(top, D, "left").where("page_start < 1 or page_end > coalesce(max_page, 0) or page_start > page_end")
+    bounds = section_bounds(chapters, sections).where("status = 'INVALID'")
+    range_ = F.concat(F.lit("Invalid chapter page range ["), F.concat_ws(", ", "page_start", "page_end"), F.lit("] for '"), F.col("title"), F.lit("'"))
+    parts = [
+        say(heading_hierarchy(documents, regions, chapters).where("score < 1"), 1, "WARNING", F.lit("Chapters detected but zero HEADING regions classified on pages.")),
+        say(twice, 2, "WARNING", F.concat(F.lit("Duplicate chapter numbers found: "), _quoted(F.col("v")))),
+        say(gaps, 2, "INFO", F.concat(F.lit("Chapter numbering has gaps: "), _listed(F.transform("v", pair))), F.lit(1)),
+        say(gathered(duplicate_ids(sections, "section_id"), F.col("section_id")), 3, "WARNING", F.concat(F.lit("Duplicate section IDs found: "), _quoted(F.col("v")))),
+        say(secs.where("unrelated_prefix_count > 0"), 3, "INFO", counted("", "unrelated_prefix_count", " section numbers do not match parent chapter prefix"), F.lit(1)),
+        say(parents.where("orphan_chunks > 0"), 4, "WARNING", counted("Found ", "orphan_chunks", " chunks without a parent chapter ID.")),
+        say(parents.where("invalid_parent_refs > 0"), 4, "ERROR", counted("Found ", "invalid_parent_refs", " chunks referencing non-existent chapter IDs."), F.lit(1)),
+        say(bad, 5, "ERROR", range_, F.col("chapter_no")),
+        say(reading_order(documents, regions, "reading_order").where("duplicate_order_pages > 0"), 6, "INFO", counted("Duplicate reading order indices found on ", "duplicate_order_pages", " pages.")),
+        say(bounds.groupBy(D).agg(F.count("*").alias("n")).select(D, F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("n")), 9, "INFO", F.lit(""), F.col("n")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def markdown(made: DataFrame, said: DataFrame, found: DataFrame) -> DataFrame:
+    """document_id and its report as Markdown. made: details; said: recommendations; found: messages."""
     recs = said.groupBy(D).agg(F.array_sort(F.collect_list(F.struct("position", "recommendation"))).alias("_r"))
-    score = lambda label, c: F.format_string(f"- **{label}**: %.2f", F.col(c).cast("double"))
-    text = F.concat_ws(
-        "\n", F.concat(F.lit("# Structural Validation Report — "), F.col(D)), F.lit(""), F.lit("## Structural Summary"),
+    issues_ = found.groupBy(D).agg(F.array_sort(F.collect_list(F.struct("category_no", "position", "severity", "message"))).alias("_i"))
+    score = lambda label, c: F.format_string(f"- **{label}**: %.2f", F.col(f"{c}.score").cast("double"))
+    count = lambda label, c: F.concat(F.lit(f"- {label}: "), F.coalesce(F.col(c), F.lit(0)).cast("string"))
+    part = lambda title: [F.lit(""), F.lit(f"## {title}")]
+    none = F.array(F.lit("- No structural issues detected."))
+    listed = F.transform("_i", lambda i: F.concat(F.lit("- **["), i["severity"], F.lit("]** "), i["message"]))
+    lines = [
+        F.concat(F.lit("# Structural Validation Report — "), F.col(D)), *part("Structural Summary"),
         score("Parent-Child Integrity", "parent_child_integrity"), score("Page Boundary Integrity", "page_boundary_integrity"), score("Reading Order Score", "reading_order"), score("Chunk Alignment Score", "chunk_alignment"),
-        F.lit(""), F.lit("## Recommendations"), F.array_join(F.transform("_r", lambda r: F.concat(F.lit("- "), r["recommendation"])), "\n"),
-    )
-    return m.join(recs, D, "left").select(D, text.alias("markdown"))
+        *part("Heading Hierarchy"), count("Headings", "heading_hierarchy.heading_count"), count("Subheadings", "heading_hierarchy.subheading_count"),
+        *part("Chapter Numbering"), F.concat(F.lit("- Scheme: `"), F.col("chapter_numbering.scheme"), F.lit("`")), count("Numbered Chapters", "chapter_numbering.total_numbered_chapters"),
+        *part("Section Numbering"), count("Total Sections", "section_numbering.total_sections"), count("Duplicate Section IDs", "section_numbering.duplicate_sections"),
+        *part("Parent-Child Relationships"), count("Orphan Chunks", "parent_child_integrity.orphan_chunks"), count("Invalid Parent References", "parent_child_integrity.invalid_parent_refs"),
+        *part("Page Boundaries"), count("Total Boundary Violations", "page_boundary_integrity.boundary_violations"),
+        *part("Reading Order"), count("Non-monotonic Pages", "reading_order.non_monotonic_pages"),
+        *part("Duplicate Headings"), count("Likely Duplicate Errors", "duplicate_headings.likely_duplicate_errors"),
+        *part("Empty / Near-Empty Chapters"), count("Empty Chapters", "empty_chapters.empty_chapter_count"),
+        *part("Cross-Boundary Sections"), count("Total Checked", "cross_boundary_sections.checked"),
+        *part("Chunk Alignment"), count("Total Chunks", "chunk_alignment.total_chunks"), count("Misaligned Chunks", "chunk_alignment.misaligned_chunks"),
+        *part("Detected Issues"), F.array_join(F.coalesce(listed, none), "\n"),
+        *part("Recommendations"), F.array_join(F.transform("_r", lambda r: F.concat(F.lit("- "), r["recommendation"])), "\n"), F.lit(""),
+    ]
+    return made.join(recs, D, "left").join(issues_, D, "left").select(D, F.array_join(F.array(*lines), "\n").alias("markdown"))
+
+
+def reports(made: DataFrame, said: DataFrame, found: DataFrame) -> DataFrame:
+    """document_id, name, content: the five JSON reports of each document and the Markdown one."""
+    recs = said.groupBy(D).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "recommendation"))), lambda r: r["recommendation"]).alias("recommendations"))
+    issues_ = found.groupBy(D).agg(F.transform(F.array_sort(F.collect_list(F.struct("category_no", "position", "severity", "message"))), lambda i: F.struct(i["severity"].alias("severity"), i["message"].alias("message"))).alias("detected_issues"))
+    categories = [c for c in made.columns if c != D]
+    rows = made.join(recs, D, "left").join(issues_, D, "left").join(markdown(made, said, found), D)
+    scores = F.struct(*[F.col(at).alias(name) for name, at in METRICS.items()]).alias("metrics")
+    files = {
+        "structural_validation.json": F.to_json(F.struct(D, scores, *categories, F.coalesce("detected_issues", F.array().cast("array<struct<severity:string,message:string>>")).alias("detected_issues"), "recommendations")),
+        "chapter_audit.json": F.to_json(F.struct(F.col("chapter_numbering").alias("numbering"), "empty_chapters")),
+        "section_audit.json": F.to_json(F.struct(F.col("section_numbering").alias("numbering"), "cross_boundary_sections")),
+        "chunk_audit.json": F.to_json("chunk_alignment"),
+        "reading_order_audit.json": F.to_json("reading_order"),
+        "structural_validation.md": F.col("markdown"),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("content")) for n, c in files.items()]))
+    return rows.select(D, each.alias("f")).select(D, "f.name", "f.content")

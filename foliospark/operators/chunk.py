@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import token_count
+from ..functions.text import strip, token_count
 from .layout import FURNITURE
 from .structure import active_sections
 
@@ -15,37 +15,35 @@ CHAPTER = ["document_id", "chapter_id"]
 def units(regions: DataFrame, pages: DataFrame, chapters: DataFrame, sections: DataFrame) -> DataFrame:
     """Regions that are not furniture or blank, with their chapter, section, tokens and order key."""
     active = active_sections(pages, chapters, sections)
-    r = regions.where(~F.col("type").isin(*FURNITURE)).where(F.trim("text") != "")
-    return r.join(active, ["document_id", "page_number"]).select(*CHAPTER, "page_number", "reading_order", "region_id", "section_id", F.trim("text").alias("text"), token_count(F.col("text")).alias("tokens"))
+    r = regions.where(~F.col("type").isin(*FURNITURE)).where(strip(F.col("text")) != "")
+    return r.join(active, ["document_id", "page_number"]).select(*CHAPTER, "page_number", "reading_order", "region_id", "section_id", strip(F.col("text")).alias("text"), token_count(F.col("text")).alias("tokens"))
 
 
 def assign_chunks(us: DataFrame, least: int = 300, most: int = 800, overlap: int = 50) -> DataFrame:
-    """Each unit's chunk (from 1) and whether it is also carried into the next chunk.
+    """The units with unit_no (from 0 in their chapter), chunk_no (from 1) and whether they are also carried into the next chunk.
 
     A chunk closes before a unit that would take it over `most`, or that is in another section, once it has `least` tokens. If it has two units or
-    more, its last one also opens the next chunk. The fold sees only (order, tokens, section) of one chapter.
+    more, its last one also opens the next chunk. The fold sees only (order, tokens, section) of one chapter and gives the places of the splits;
+    units are dealt by chapter once, for their number, their split and their chunk.
     """
     key = F.struct("page_number", "reading_order", "region_id", "tokens", F.coalesce("section_id", F.lit("")).alias("sec"))
     u = us.groupBy(*CHAPTER).agg(F.array_sort(F.collect_list(key)).alias("us"))
-    item = "struct<page_number:bigint,reading_order:bigint,region_id:string,chunk_no:int,carried:boolean>"
-    kind = f"struct<tokens:bigint,n:int,last:bigint,sec:string,chunk:int,out:array<{item}>>"
-    start = F.expr(f"cast(named_struct('tokens', 0L, 'n', 0, 'last', 0L, 'sec', '', 'chunk', 1, 'out', cast(array() as array<{item}>)) as {kind})")
+    kind = "struct<i:int,tokens:bigint,n:int,last:bigint,sec:string,splits:array<struct<at:int,carried:boolean>>>"
+    start = F.expr(f"cast(named_struct('i', 0, 'tokens', 0L, 'n', 0, 'last', 0L, 'sec', '', 'splits', cast(array() as array<struct<at:int,carried:boolean>>)) as {kind})")
 
     def step(acc: Column, x: Column) -> Column:
-        first = F.size(acc["out"]) == 0
-        split = ~first & (acc["tokens"] >= least) & ((acc["tokens"] + x["tokens"] > most) | (x["sec"] != acc["sec"]))
+        split = (acc["i"] > 0) & (acc["tokens"] >= least) & ((acc["tokens"] + x["tokens"] > most) | (x["sec"] != acc["sec"]))
         carry = split & (acc["n"] > 1) if overlap > 0 else F.lit(False)
         kept, n = F.when(carry, acc["last"]).when(split, F.lit(0)).otherwise(acc["tokens"]), F.when(carry, 1).when(split, 0).otherwise(acc["n"])
-        chunk = F.when(split, acc["chunk"] + 1).otherwise(acc["chunk"])
-        put = F.struct(x["page_number"].alias("page_number"), x["reading_order"].alias("reading_order"), x["region_id"].alias("region_id"), chunk.alias("chunk_no"), carry.alias("carried"))
-        return F.struct((kept + x["tokens"]).alias("tokens"), (n + 1).alias("n"), x["tokens"].alias("last"), x["sec"].alias("sec"), chunk.alias("chunk"), F.concat(acc["out"], F.array(put)).alias("out")).cast(kind)
+        splits = F.when(split, F.concat(acc["splits"], F.array(F.struct(acc["i"].alias("at"), carry.alias("carried"))))).otherwise(acc["splits"])
+        return F.struct((acc["i"] + 1).alias("i"), (kept + x["tokens"]).alias("tokens"), (n + 1).alias("n"), x["tokens"].alias("last"), x["sec"].alias("sec"), splits.alias("splits")).cast(kind)
 
-    out = F.aggregate("us", start, step, lambda a: a["out"])
-    # carried is set on the unit that opens the next chunk; the unit before it is the one that is carried.
-    rows = u.select(*CHAPTER, out.alias("all"))
-    on = F.transform("all", lambda x, i: F.struct(x["page_number"].alias("page_number"), x["reading_order"].alias("reading_order"), x["region_id"].alias("region_id"), x["chunk_no"].alias("chunk_no"), F.coalesce(F.get(F.col("all"), i + 1)["carried"], F.lit(False)).alias("carried")))
-    rows = rows.select(*CHAPTER, F.posexplode(on).alias("i", "u"))
-    return rows.select(*CHAPTER, "u.page_number", "u.reading_order", "u.region_id", F.col("i").cast("long").alias("unit_no"), F.col("u.chunk_no").cast("long").alias("chunk_no"), "u.carried")
+    splits = u.select(*CHAPTER, F.aggregate("us", start, step, lambda a: a["splits"]).alias("_splits"))
+    at = F.row_number().over(Window.partitionBy(*CHAPTER).orderBy("page_number", "reading_order", "region_id")) - 1
+    rows = us.withColumn("_at", at).join(splits, CHAPTER)
+    chunk_no = F.size(F.filter("_splits", lambda s: s["at"] <= F.col("_at"))) + 1
+    carried = F.exists("_splits", lambda s: (s["at"] == F.col("_at") + 1) & s["carried"])
+    return rows.select(*us.columns, F.col("_at").cast("long").alias("unit_no"), chunk_no.cast("long").alias("chunk_no"), carried.alias("carried"))
 
 
 def chunk_members(assigned: DataFrame) -> DataFrame:
@@ -54,8 +52,8 @@ def chunk_members(assigned: DataFrame) -> DataFrame:
     return assigned.withColumn("chunk_no", F.explode(both)).drop("carried")
 
 
-def build_chunks(us: DataFrame, assigned: DataFrame) -> DataFrame:
-    m = chunk_members(assigned).join(us, [*CHAPTER, "page_number", "reading_order", "region_id"])
+def build_chunks(assigned: DataFrame) -> DataFrame:
+    m = chunk_members(assigned)
     part = F.struct("unit_no", "region_id", "text", "section_id")
     c = m.groupBy(*CHAPTER, "chunk_no").agg(F.array_sort(F.collect_list(part)).alias("p"), F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end"), F.sum("tokens").alias("token_count"))
     return c.select(
@@ -65,5 +63,4 @@ def build_chunks(us: DataFrame, assigned: DataFrame) -> DataFrame:
 
 
 def chunk(regions: DataFrame, pages: DataFrame, chapters: DataFrame, sections: DataFrame, least: int = 300, most: int = 800, overlap: int = 50) -> DataFrame:
-    us = units(regions, pages, chapters, sections)
-    return build_chunks(us, assign_chunks(us, least, most, overlap))
+    return build_chunks(assign_chunks(units(regions, pages, chapters, sections), least, most, overlap))

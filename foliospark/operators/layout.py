@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import clamp_box
-from ..functions.text import CAPTION, EQUATION, PAGE_NUMBER, starts, table_text
+from ..functions.text import CAPTION, EQUATION, PAGE_NUMBER, starts, strip, table_text, tokens
 
 PAGE = ["document_id", "page_number"]
 FURNITURE = ("HEADER", "FOOTER", "PAGE_NUMBER")
@@ -16,38 +16,47 @@ LINE_TOLERANCE = 3.5
 def cluster_lines(words: DataFrame, tolerance: float = LINE_TOLERANCE) -> DataFrame:
     """Words with the number of their visual line: sorted by (top, x0), a word opens a line unless it is within tolerance of the line's first word.
 
-    The anchor is the first word, not the one before, so this is a fold over the page's words (bounded by the page).
+    As tops ascend, a word's line follows from its top alone: the fold runs over a page's distinct tops, and words look theirs up. Words are
+    gathered once by page (which bounds them), so there is no join.
     """
-    w = words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("top", "x0", "word_ordinal"))).alias("ws"))
-    item = "struct<word_ordinal:bigint,line_no:int>"
-    kind = f"struct<anchor:double,line:int,out:array<{item}>>"
-    start = F.expr(f"cast(named_struct('anchor', -1e9D, 'line', 0, 'out', cast(array() as array<{item}>)) as {kind})")
+    own = [c for c in words.columns if c not in PAGE]
+    w = words.groupBy(*PAGE).agg(F.collect_list(F.struct(*own)).alias("_ws"), F.array_sort(F.collect_set("top")).alias("_tops"))
+    start = F.expr("cast(named_struct('anchor', -1e9D, 'lines', cast(array() as array<int>)) as struct<anchor:double,lines:array<int>>)")
 
-    def step(acc: Column, x: Column) -> Column:
-        new = F.abs(x["top"] - acc["anchor"]) > tolerance
-        line = F.when(new, acc["line"] + 1).otherwise(acc["line"])
-        put = F.struct(x["word_ordinal"].alias("word_ordinal"), line.alias("line_no"))
-        return F.struct(F.when(new, x["top"]).otherwise(acc["anchor"]).alias("anchor"), line.alias("line"), F.concat(acc["out"], F.array(put)).alias("out")).cast(kind)
+    def step(acc: Column, top: Column) -> Column:
+        new = (top - acc["anchor"]) > tolerance
+        line = F.coalesce(F.get(acc["lines"], F.size(acc["lines"]) - 1), F.lit(0)) + new.cast("int")
+        return F.struct(F.when(new, top).otherwise(acc["anchor"]).alias("anchor"), F.concat(acc["lines"], F.array(line)).alias("lines"))
 
-    numbered = w.select(*PAGE, F.inline(F.aggregate("ws", start, step, lambda a: a["out"])))
-    return words.join(numbered, [*PAGE, "word_ordinal"])
+    w = w.select(*PAGE, "_ws", "_tops", F.aggregate("_tops", start, step)["lines"].alias("_lines"))
+    line = lambda x: F.get(F.col("_lines"), (F.array_position(F.col("_tops"), x["top"]) - 1).cast("int"))
+    return w.select(*PAGE, F.inline(F.transform("_ws", lambda x: F.struct(*[x[c].alias(c) for c in own], line(x).alias("line_no")))))
 
 
 def line_blocks(words: DataFrame) -> DataFrame:
     """One block a line: words joined by x0, outer box, mean of the sizes that are set (else 10), the first word's font."""
-    ws = F.array_sort(F.collect_list(F.struct("x0", "word_ordinal", "text", F.coalesce("fontname", F.lit("Unknown")).alias("fontname"))))
+    ws = F.array_sort(F.collect_list(F.struct("x0", "top", "word_ordinal", "text", F.coalesce("fontname", F.lit("Unknown")).alias("fontname"))))
     b = words.groupBy(*PAGE, "line_no").agg(ws.alias("ws"), F.min("x0").alias("x0"), F.min("top").alias("y0"), F.max("x1").alias("x1"), F.max("bottom").alias("y1"), F.coalesce(F.avg(F.when(F.col("size") > 0, F.col("size"))), F.lit(10.0)).alias("avg_font_size"), F.count("*").alias("word_count"))
     return b.select(*PAGE, "line_no", F.array_join(F.transform("ws", lambda x: x["text"]), " ").alias("text"), *[F.round(c, 2).alias(c) for c in ("x0", "y0", "x1", "y1")], F.round("avg_font_size", 2).alias("avg_font_size"), F.col("ws")[0]["fontname"].alias("fontname"), "word_count")
 
 
+def _upper_median(sizes: Column) -> Column:
+    """Upper median of the positive sizes, 10 without any. sizes: aggregates or a window over them."""
+    s = F.array_sort(sizes)
+    return F.coalesce(F.get(s, F.floor(F.size(s) / 2).cast("int")), F.lit(10.0))
+
+
+def _positive() -> Column:
+    return F.when(F.col("avg_font_size") > 0, F.col("avg_font_size"))
+
+
 def median_font(blocks: DataFrame) -> DataFrame:
     """Upper median of a page's positive sizes, 10 without any."""
-    s = blocks.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.when(F.col("avg_font_size") > 0, F.col("avg_font_size")))).alias("s"))
-    return s.select(*PAGE, F.coalesce(F.get("s", F.floor(F.size("s") / 2).cast("int")), F.lit(10.0)).alias("median_font_size"))
+    return blocks.groupBy(*PAGE).agg(_upper_median(F.collect_list(_positive())).alias("median_font_size"))
 
 
 def region_type(text: Column, y0: Column, y1: Column, height: Column, font: Column, median: Column) -> Column:
-    t = F.trim(text)
+    t = strip(text)
     number = t.rlike(PAGE_NUMBER) & (F.length(t) < 12)
     equation = (F.length(t) < 80) & t.rlike(EQUATION) & t.contains("(") & t.contains(")") & (t.contains("=") | t.contains("+"))
     return (
@@ -71,8 +80,8 @@ def outside_tables(boxes: DataFrame, tables: DataFrame) -> DataFrame:
 
 def classify_blocks(blocks: DataFrame, height: float = 792.0) -> DataFrame:
     """Blocks that are not blank, with their region type."""
-    m = blocks.join(median_font(blocks), PAGE)
-    return m.where(F.trim("text") != "").withColumn("type", region_type(F.col("text"), F.col("y0"), F.col("y1"), F.lit(height), F.col("avg_font_size"), F.col("median_font_size")))
+    m = blocks.withColumn("median_font_size", _upper_median(F.collect_list(_positive()).over(Window.partitionBy(*PAGE))))
+    return m.where(strip(F.col("text")) != "").withColumn("type", region_type(F.col("text"), F.col("y0"), F.col("y1"), F.lit(height), F.col("avg_font_size"), F.col("median_font_size")))
 
 
 def detect_regions(blocks: DataFrame, tables: DataFrame, images: DataFrame, height: float = 792.0) -> DataFrame:
@@ -81,7 +90,7 @@ def detect_regions(blocks: DataFrame, tables: DataFrame, images: DataFrame, heig
     shape = lambda kind, o, t, text, conf, font: [*PAGE, F.lit(kind).alias("kind"), o.cast("long").alias("ord"), t.alias("type"), text.alias("text"), *box, F.lit(conf).alias("confidence"), font.cast("double").alias("font_size")]
     none = F.lit(None)
     ts = tables.select(*shape(0, F.col("y0"), F.lit("TABLE"), table_text(F.col("data")), 0.98, none))
-    bs = outside_tables(classify_blocks(blocks, height), tables).select(*shape(1, F.col("ord"), F.col("type"), F.trim("text"), 0.95, F.col("avg_font_size")))
+    bs = outside_tables(classify_blocks(blocks, height), tables).select(*shape(1, F.col("ord"), F.col("type"), strip(F.col("text")), 0.95, F.col("avg_font_size")))
     fs = outside_tables(images, tables).select(*shape(2, F.col("y0"), F.lit("FIGURE"), F.lit("[Figure Image]"), 0.90, none))
     w = Window.partitionBy(*PAGE).orderBy("kind", "ord")
     r = ts.unionByName(bs).unionByName(fs).withColumn("region_no", F.row_number().over(w).cast("long"))
@@ -127,8 +136,8 @@ def normalize(regions: DataFrame, width: float = 612.0, height: float = 792.0, s
 
 def word_boxes(lines: DataFrame) -> DataFrame:
     """Approximate boxes of a line's words: the line's width shared by character, one for each space."""
-    toks = F.split(F.trim("text"), r"\s+")
-    unit = (F.col("x1") - F.col("x0")) / F.greatest(F.lit(1), F.length("text"))
+    toks = tokens(F.col("text"))
+    unit = (F.col("x1") - F.col("x0")) / F.greatest(F.lit(1), F.length(strip(F.col("text"))))
     w = lines.select(*PAGE, "ord", "x0", "y0", "y1", unit.alias("unit"), toks.alias("word"))
     w = w.select(*PAGE, "ord", "x0", "y0", "y1", "unit", F.posexplode(F.arrays_zip("word", starts(F.col("word")).alias("at"))).alias("i", "w")).select(*PAGE, "ord", "x0", "y0", "y1", "unit", "i", "w.*")
     unit, at = F.col("unit"), F.col("at")

@@ -65,6 +65,19 @@ def performance(timings: DataFrame) -> DataFrame:
     return t.select(D, "stage", "total_ms", F.round(F.col("total_ms") / F.greatest(F.lit(1), F.col("_p")), 2).alias("average_page_ms"))
 
 
+def _summary() -> Column:
+    return F.struct("page_count", "processed_pages", "failed_pages", F.col("chapters").alias("chapters_count"), F.col("sections").alias("sections_count"), F.col("chunks").alias("chunks_count"))
+
+
+def _header() -> list[Column]:
+    return [F.lit("TOON_V1").alias("format"), F.col(D), F.concat(F.col(D), F.lit(".pdf")).alias("filename"), F.lit("0.1.0").alias("pipeline_version"), _summary().alias("summary")]
+
+
+def toon_header(manifests: DataFrame) -> DataFrame:
+    """document_id and the part of its payload before the structure: what validation reads."""
+    return manifests.select(D, F.to_json(F.struct(*_header())).alias("toon"))
+
+
 def toon_payload(manifests: DataFrame, chapters: DataFrame, sections: DataFrame, chunks: DataFrame, regions: DataFrame) -> DataFrame:
     """document_id, filename and the document as one JSON text: summary, structure, chunks and pages."""
     ss = sections.groupBy(D, "chapter_id").agg(F.array_sort(F.collect_list(F.struct("section_no", "section_id", "title", "page_start", "page_end"))).alias("sections"))
@@ -73,8 +86,7 @@ def toon_payload(manifests: DataFrame, chapters: DataFrame, sections: DataFrame,
     ps = regions.groupBy(D, "page_number").agg(F.array_sort(F.collect_list(F.struct("reading_order", "region_id", "type", "text", F.array("x0", "y0", "x1", "y1").alias("bbox"), "confidence"))).alias("regions"))
     ps = ps.groupBy(D).agg(F.array_sort(F.collect_list(F.struct("page_number", "regions"))).alias("pages_"))
     j = manifests.join(cs, D, "left").join(ks, D, "left").join(ps, D, "left")
-    summary = F.struct("page_count", "processed_pages", "failed_pages", F.col("chapters").alias("chapters_count"), F.col("sections").alias("sections_count"), F.col("chunks").alias("chunks_count"))
-    body = F.struct(F.lit("TOON_V1").alias("format"), D, F.concat(F.col(D), F.lit(".pdf")).alias("filename"), F.lit("0.1.0").alias("pipeline_version"), summary.alias("summary"), F.struct(F.col("chapters_").alias("chapters")).alias("structure"), F.col("chunks_").alias("chunks"), F.col("pages_").alias("pages"))
+    body = F.struct(*_header(), F.struct(F.col("chapters_").alias("chapters")).alias("structure"), F.col("chunks_").alias("chunks"), F.col("pages_").alias("pages"))
     return j.select(D, F.to_json(body).alias("toon"))
 
 

@@ -18,8 +18,23 @@ def encode(text: Column, vocabulary: list[str] = VOCABULARY) -> Column:
     return F.filter(at, lambda i: i >= 0)
 
 
-def greedy_decode(steps: DataFrame, vocabulary: list[str] = VOCABULARY, blank: int = 0) -> DataFrame:
-    """sample, text, confidence and tokens from logits a time step: best class (lowest index of equals), repeats collapsed, blanks dropped."""
+def valid_length(width: Column) -> Column:
+    """Time steps that an image of this width gives: one for 4 pixels, one at least."""
+    return F.greatest(F.lit(1), F.floor(width / 4))
+
+
+def zipped(refs: DataFrame, hyps: DataFrame) -> DataFrame:
+    """References and predictions of the same position; what has no partner is left out."""
+    return refs.join(hyps, "position")
+
+
+def greedy_decode(steps: DataFrame, vocabulary: list[str] = VOCABULARY, blank: int = 0, widths: DataFrame | None = None) -> DataFrame:
+    """sample, text, confidence and tokens from logits a time step: best class (lowest index of equals), repeats collapsed, blanks dropped.
+
+    widths (sample, width of its image): time steps from valid_length on are padding and do not count.
+    """
+    if widths is not None:
+        steps = steps.join(widths.select("sample", valid_length(F.col("width")).alias("_valid")), "sample").where(F.col("t") < F.col("_valid"))
     best = F.array_max("logits")
     p = F.lit(1.0) / F.aggregate("logits", F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - best.cast("double")))
     s = steps.select("sample", "t", (F.array_position("logits", best) - 1).cast("int").alias("idx"), p.alias("p"))

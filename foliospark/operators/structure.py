@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CHAPTER, LONG_LINE, NUMBERED, SECTION, roman_value, token_count
+from ..functions.text import CHAPTER, LONG_LINE, NUMBERED, SECTION, roman_value, strip, token_count
 
 DOC = ["document_id"]
 
@@ -16,13 +16,13 @@ DOC = ["document_id"]
 def region_lines(regions: DataFrame) -> DataFrame:
     """The non-blank trimmed lines of up to 120 characters, with their region's order and type."""
     ls = regions.select("document_id", "page_number", "reading_order", "type", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return ls.withColumn("line", F.trim("raw")).where(F.col("line") != "").where(F.length("line") <= LONG_LINE).drop("raw")
+    return ls.withColumn("line", strip(F.col("raw"))).where(F.col("line") != "").where(F.length("line") <= LONG_LINE).drop("raw")
 
 
 def explicit_chapters(lines: DataFrame) -> DataFrame:
     m = lines.where(F.col("line").rlike(CHAPTER))
     n = roman_value(F.regexp_extract("line", CHAPTER, 1))
-    title = F.trim(F.regexp_extract("line", CHAPTER, 2))
+    title = strip(F.regexp_extract("line", CHAPTER, 2))
     return m.select(
         "document_id", "page_number", "reading_order", "line_no", F.lit(0).alias("rule"), n.cast("long").alias("number"),
         F.when(title != "", title).otherwise(F.concat(F.lit("Chapter "), n.cast("string"))).alias("title"),
@@ -34,7 +34,7 @@ def numbered_chapters(lines: DataFrame) -> DataFrame:
     m = lines.where((F.col("type") == "HEADING") & F.col("line").rlike(NUMBERED) & ~F.lower("line").startswith("section"))
     n = F.regexp_extract("line", NUMBERED, 1)
     m = m.where(n.try_cast("long").between(1, 99)) if hasattr(n, "try_cast") else m.where(F.length(n) < 10).where(n.cast("long").between(1, 99))
-    return m.select("document_id", "page_number", "reading_order", "line_no", F.lit(1).alias("rule"), n.cast("long").alias("number"), F.trim(F.regexp_extract("line", NUMBERED, 2)).alias("title"), F.lit(0.85).alias("confidence"), F.lit("pattern_numbered_heading").alias("detection_method"))
+    return m.select("document_id", "page_number", "reading_order", "line_no", F.lit(1).alias("rule"), n.cast("long").alias("number"), strip(F.regexp_extract("line", NUMBERED, 2)).alias("title"), F.lit(0.85).alias("confidence"), F.lit("pattern_numbered_heading").alias("detection_method"))
 
 
 def first_per_page(candidates: DataFrame) -> DataFrame:

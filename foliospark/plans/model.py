@@ -9,8 +9,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import audit, chunk, layout, manifest, quality, structure
-from ..sources import views
+from ..operators import audit, chunk, digital, layout, manifest, ocr, quality, structure
+from ..sources import files, views
 from ..sources.stage import stage
 
 Step = Callable[..., DataFrame]
@@ -20,6 +20,9 @@ Step = Callable[..., DataFrame]
 class Steps:
     """The parts of the chain; pass others to replace them."""
 
+    analyze: Step = quality.page_quality
+    digital: Step = digital.page_words
+    scanned: Step = ocr.baseline_blocks
     detect: Step = layout.detect_regions
     order: Step = layout.reading_order
     normalize: Step = layout.normalize
@@ -27,6 +30,11 @@ class Steps:
     sections: Step = structure.detect_sections
     chunks: Step = chunk.chunk
     audit: Step = audit.metrics
+    payload: Step = manifest.toon_payload
+    overlay: Step = files.overlay_labels
+
+
+STAGES = ("pages", "ordered", "chapters", "sections", "chunks")
 
 
 @dataclass
@@ -41,14 +49,43 @@ class Model:
     images: DataFrame
     steps: Steps = field(default_factory=Steps)
     chunk_tokens: tuple[int, int, int] = (300, 800, 50)
+    #: Called with a stage's name, how many are done and how many there are, after each.
+    progress: Callable[[str, int, int], None] | None = None
+    done: list[str] = field(default_factory=list)
+
+    def _stage(self, name: str, df: DataFrame) -> DataFrame:
+        out = stage(df)
+        if name not in self.done:
+            self.done.append(name)
+            if self.progress:
+                self.progress(name, len(self.done), len(STAGES))
+        return out
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str, **kw) -> Model:
-        return cls(views.blocks(spark, sf_dir), views.tables(spark, sf_dir), views.images(spark, sf_dir), **kw)
+        lines = stage(views.page_lines(spark, sf_dir))
+        return cls(views.blocks(spark, sf_dir, lines), views.tables(spark, sf_dir, lines), views.images(spark, sf_dir, lines), **kw)
+
+    @classmethod
+    def from_content(cls, pages: DataFrame, words: DataFrame, boxes: DataFrame, tables: DataFrame, images: DataFrame, steps: Steps | None = None, factor: tuple[float, float] = (1.0, 1.0), **kw) -> Model:
+        """Blocks from the words of digital pages (in page units), and from the line boxes of all others (in pixels), as the analysis routes each page."""
+        steps = steps or Steps()
+        routed = steps.analyze(pages).select(*layout.PAGE, "route")
+        routed = stage(routed)
+        of = lambda df, digital_: df.join(routed.where((F.col("route") == "DIGITAL_TEXT") == digital_).select(*layout.PAGE), layout.PAGE, "left_semi")
+        sized = of(words, True).join(pages.select(*layout.PAGE, "width", "height"), layout.PAGE)
+        read = layout.line_blocks(layout.cluster_lines(steps.digital(sized)))
+        seen = steps.scanned(ocr.numbered_lines(of(boxes, False)), *factor)
+        columns = [*layout.PAGE, F.col("line_no").cast("long").alias("ord"), "text", "avg_font_size", "x0", "y0", "x1", "y1"]
+        return cls(stage(read.select(*columns).unionByName(seen.select(*columns))), tables, images, steps, **kw)
+
+    @property
+    def labels(self) -> DataFrame:
+        return self.steps.overlay(self.ordered)
 
     @cached_property
     def pages(self) -> DataFrame:
-        return stage(self.blocks.select("document_id", "page_number").distinct())
+        return self._stage("pages", self.blocks.select("document_id", "page_number").distinct())
 
     @cached_property
     def regions(self) -> DataFrame:
@@ -56,24 +93,38 @@ class Model:
 
     @cached_property
     def ordered(self) -> DataFrame:
-        return stage(self.steps.normalize(self.steps.order(self.regions)))
+        return self._stage("ordered", self.steps.normalize(self.steps.order(self.regions)))
 
     @cached_property
     def chapters(self) -> DataFrame:
-        return stage(self.steps.chapters(self.ordered, self.pages))
+        return self._stage("chapters", self.steps.chapters(self.ordered, self.pages))
 
     @cached_property
     def sections(self) -> DataFrame:
-        return stage(self.steps.sections(self.ordered, self.chapters, self.pages))
+        return self._stage("sections", self.steps.sections(self.ordered, self.chapters, self.pages))
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return stage(self.steps.chunks(self.ordered, self.pages, self.chapters, self.sections, *self.chunk_tokens))
+        return self._stage("chunks", self.steps.chunks(self.ordered, self.pages, self.chapters, self.sections, *self.chunk_tokens))
 
     @cached_property
     def manifest(self) -> DataFrame:
         return manifest.manifest(self.pages, self.pages.limit(0), self.chapters, self.sections, self.chunks)
 
+    @cached_property
+    def payloads(self) -> DataFrame:
+        return self.steps.payload(self.manifest, self.chapters, self.sections, self.chunks, self.ordered)
+
+    @property
+    def _audited(self) -> tuple[DataFrame, ...]:
+        return self.pages, self.pages, self.ordered, self.chapters, self.sections, self.chunks
+
+    @cached_property
+    def reports(self) -> DataFrame:
+        made = stage(audit.details(*self._audited))
+        m = made.select("document_id", *[F.col(at).alias(name) for name, at in audit.METRICS.items()])
+        return audit.reports(made, audit.recommendations(m), audit.messages(*self._audited))
+
     @cached_property
     def audit(self) -> DataFrame:
         return self.steps.audit(self.pages, self.pages, self.ordered, self.chapters, self.sections, self.chunks)

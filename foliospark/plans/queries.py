@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import geometry, text
-from ..operators import audit, chunk, layout, manifest, quality, recognition, structure
+from ..functions import geometry, log, text
+from ..operators import audit, chunk, digital, layout, manifest, ocr, quality, recognition, structure
 from ..sources import files, views
+from ..sources.sentences import SENTENCES
 from ..sources.stage import shared_folder
 from .model import Damaged, Model
 
@@ -87,8 +88,30 @@ def upload_validate(spark, sf_dir):
 
 @query
 def gen_synthetic_lines(spark, sf_dir):
-    corpus = ["The beam carries a uniform load", "Stress equals force over area", "Heat flows from hot to cold", "Every action has a reaction"]
-    return files.synthetic_lines(spark, corpus, 500)
+    return files.synthetic_lines(spark, SENTENCES, 500)
+
+
+@query
+def scan_yaml_config(spark, sf_dir):
+    """A YAML file written below the shared folder, read back as one row a value."""
+    at = f"{_folder(spark)}/config.yaml"
+    files.Store(spark, at.rsplit("/", 1)[0]).put("config.yaml", b"# run\nmodel:\n  name: crnn\n  height: 32\n  dropout: 0.1\n  layers: [64, 128]\ntrain:\n  shuffle: true\n  seeds:\n    - 1\n    - 2\nnote: 'a: b'\n")
+    flat = lambda x, at="": [r for k, v in (x.items() if isinstance(x, dict) else enumerate(x)) for r in flat(v, f"{at}.{k}" if at else str(k))] if isinstance(x, (dict, list)) else [(at, str(x))]
+    return spark.createDataFrame(flat(files.read_config(spark, at)), "path string, value string")
+
+
+@query
+def object_store(spark, sf_dir):
+    """Objects put, replaced, deleted and read back by key."""
+    s = files.Store(spark, _folder(spark))
+    s.put("a/one.txt", b"first")
+    s.put("a/one.txt", b"second")
+    s.put_json("b/two.json", {"k": [1, 2], "u": "é"})
+    s.put("c.bin", b"x")
+    gone = s.delete("c.bin")
+    held = [(k, s.get(k).decode() if k.endswith("txt") else str(s.get_json(k)["u"])) for k in ("a/one.txt", "b/two.json")]
+    found = spark.createDataFrame([(k, v, s.exists(k)) for k, v in held] + [("c.bin", None, s.exists("c.bin") or not gone)], "key string, value string, found boolean")
+    return found.join(s.keys().withColumn("listed", F.lit(True)), "key", "left").select("key", "value", "found", F.coalesce("listed", F.lit(False)).alias("listed"))
 
 
 # Quality
@@ -119,6 +142,100 @@ def extraction_counts(spark, sf_dir):
     return quality.extraction_counts(_quality(spark, sf_dir))
 
 
+@query
+def page_dimensions(spark, sf_dir):
+    d = quality.page_dimensions(_quality(spark, sf_dir))
+    return d.select("document_id", F.size("page_dimensions").cast("long").alias("pages"), F.get("page_dimensions", F.lit(0))["width"].alias("width"), F.element_at("page_dimensions", -1)["height"].alias("height"))
+
+
+@query
+def log_line(spark, sf_dir):
+    """One structured line for each change of a job's state."""
+    j = views.jobs(spark, sf_dir)
+    failed = F.col("status") == "failed"
+    fields = {"document_id": F.col("document_id"), "page_number": F.when(F.col("event_id") % 3 == 0, F.col("pages_processed")), "stage": F.lit("ocr"), "duration_ms": F.col("event_id") % 1000 / 8.0, "status": F.col("status"), "error": F.when(failed, "unreadable")}
+    level = F.when(failed, "ERROR").otherwise("INFO")
+    return j.select("event_id", log.log_line(F.col("ts"), level, log.stage_message(F.lit("ocr"), F.col("status")), fields).alias("line"))
+
+
+# Digital and scanned pages
+
+
+def _on_pages(df):
+    return df.withColumns({"width": F.lit(500.0), "height": F.lit(600.0)})
+
+
+@query
+def scan_digital_page(spark, sf_dir):
+    """Words moved partly off their page, put back inside it and rounded."""
+    w = _on_pages(views.words(spark, sf_dir)).withColumns({"x0": F.col("x0") - 80.126, "x1": F.col("x1") - 80.126, "top": F.col("top") + 0.377, "bottom": F.col("bottom") + 0.377})
+    return digital.page_words(w).select(*P, "word_ordinal", "text", "x0", "top", "x1", "bottom", "size")
+
+
+@query
+def digital_tables(spark, sf_dir):
+    return digital.page_tables(_on_pages(views.tables(spark, sf_dir))).select(*P, "x0", "y0", "x1", "y1", "rows", "cols")
+
+
+@query
+def digital_images(spark, sf_dir):
+    i = _on_pages(views.images(spark, sf_dir)).select(*P, F.col("x0") - 90.004, F.col("y0").alias("top"), "x1", F.col("y1").alias("bottom"), "width", "height").toDF(*P, "x0", "top", "x1", "bottom", "width", "height")
+    return digital.page_images(i).select(*P, "x0", "top", "x1", "bottom", "image_width", "image_height")
+
+
+@query
+def digital_counts(spark, sf_dir):
+    return digital.page_counts(views.words(spark, sf_dir), views.tables(spark, sf_dir), views.images(spark, sf_dir), P)
+
+
+FX, FY = 612.0 / 1275.0, 792.0 / 1650.0
+
+
+def _lines(spark, sf_dir):
+    e, u = F.col("event_id"), F.col("user_id")
+    b = views.read(spark, sf_dir, "events").select(F.concat(F.lit("d"), (u % 20).cast("string")).alias("document_id"), (u % 7 + 1).alias("page_number"), (e * 7 % 600).alias("x"), e.alias("y"), (e % 90).alias("w"), (e % 14).alias("h"))
+    return ocr.numbered_lines(b)
+
+
+def _predictions(lines):
+    y = F.col("y")
+    return lines.select(*P, "line_no", F.when(y % 5 == 0, "\u2003 ").otherwise(F.concat(F.lit("\tline  of "), y.cast("string"), F.lit(" "))).alias("text"), (y % 100 / 100.0).alias("confidence"))
+
+
+@query
+def baseline_ocr_blocks(spark, sf_dir):
+    return ocr.baseline_blocks(_lines(spark, sf_dir), FX, FY)
+
+
+@query
+def baseline_ocr_words(spark, sf_dir):
+    ls = _lines(spark, sf_dir)
+    w = ls.select(*P, "line_no", "y", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select(*P, "line_no", (30 - F.col("k") * 9).alias("wx"), F.col("k").alias("wy"), ((F.col("y") + F.col("k")) % 9).alias("ww"), F.lit(5).alias("wh"))
+    return ocr.baseline_words(ls, w, FX, FY)
+
+
+@query
+def crnn_ocr_blocks(spark, sf_dir):
+    ls = _lines(spark, sf_dir)
+    return ocr.recognised_blocks(ls, _predictions(ls), FX, FY)
+
+
+@query
+def crnn_ocr_pages(spark, sf_dir):
+    ls = _lines(spark, sf_dir)
+    pages = ls.select(*P).distinct().unionByName(spark.createDataFrame([("none", 1)], "document_id string, page_number bigint"))
+    o = ocr.ocr_pages(pages, ocr.recognised_blocks(ls, _predictions(ls), FX, FY), "cnn_ocr")
+    return o.select(*P, "method", F.round("confidence", 3).alias("confidence"), F.md5(F.encode("raw_text", "UTF-8")).alias("text_md5"), "detected_regions")
+
+
+@query
+def scan_ocr_page(spark, sf_dir):
+    """Which reader each page gets, with a model and without, and the error of pages that are no image."""
+    d = views.read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 9 == 0, "str").otherwise("image").alias("kind"))
+    both = ocr.dispatch(d, True, "cnn_ocr").withColumn("model", F.lit(True)).unionByName(ocr.dispatch(d, False).withColumn("model", F.lit(False)))
+    return both.groupBy("model", "method", "error").agg(F.count("*").alias("pages"))
+
+
 # Words and lines
 
 
@@ -135,7 +252,7 @@ def block_agg(spark, sf_dir):
 
 @query
 def approx_word_boxes(spark, sf_dir):
-    return layout.word_boxes(views.blocks(spark, sf_dir).where("ord between 0 and 999").withColumn("x1", F.col("x0") + 6.0 * F.length("text")))
+    return layout.word_boxes(views.blocks(spark, sf_dir).withColumn("x1", F.col("x0") + 6.0 * F.length(text.strip(F.col("text")))))
 
 
 @query
@@ -172,7 +289,7 @@ def classify_block(m):
 
 @over_model
 def skip_empty_block(m):
-    return m.blocks.withColumn("text", F.when(F.col("ord") % 9 == 0, "  ").otherwise(F.col("text"))).where(F.trim("text") != "").groupBy("document_id").agg(F.count("*").alias("blocks"))
+    return m.blocks.withColumn("text", F.when(F.col("ord") % 9 == 0, "\u2003\t \u00a0").otherwise(F.col("text"))).where(text.strip(F.col("text")) != "").groupBy("document_id").agg(F.count("*").alias("blocks"))
 
 
 @over_model
@@ -435,10 +552,29 @@ def top3_examples(m):
     return b.select("document_id", F.array_join(F.transform("e", lambda x: F.concat_ws(":", x["chapter_id"], x["page_start"], x["section_id"])), ",").alias("examples"))
 
 
+@over_defects
+def audit_messages(m):
+    return audit.messages(m.pages, m.pages, m.ordered, m.chapters, m.sections, m.chunks)
+
+
+def _reports(m):
+    spark, at = m.blocks.sparkSession, _folder(m.blocks.sparkSession)
+    files.write_reports(m.reports, at)
+    return files.read_reports(spark, at)
+
+
 @over_defects
 def sink_audit(m):
-    a = m.audit
-    return audit.markdown(a, audit.recommendations(a))
+    return _reports(m).where("name = 'structural_validation.md'").select("document_id", F.col("content").alias("markdown"))
+
+
+@over_defects
+def sink_audit_json(m):
+    """The JSON reports, written and read back, with a value of each."""
+    g = lambda p: F.get_json_object("content", p)
+    r = _reports(m).where("name like '%.json'")
+    number = F.coalesce(g("$.metrics.duplicate_heading_rate"), g("$.empty_chapters.empty_chapter_count"), g("$.cross_boundary_sections.invalid"), g("$.misaligned_chunks"), g("$.non_monotonic_pages"))
+    return r.select("document_id", "name", F.round(number.cast("double"), 4).alias("value"))
 
 
 # Manifest, state, reports
@@ -486,14 +622,17 @@ def performance_agg(spark, sf_dir):
 
 @over_model
 def sink_toon(m):
-    t = manifest.toon_payload(m.manifest, m.chapters, m.sections, m.chunks, m.ordered)
+    """Payloads written by document and read back."""
+    at = _folder(m.blocks.sparkSession)
+    files.write_toon(m.payloads, at)
+    t = m.blocks.sparkSession.read.text(at).withColumnRenamed("value", "toon")
     g = lambda p: F.get_json_object("toon", p)
     return t.select("document_id", g("$.format").alias("format"), g("$.filename").alias("filename"), g("$.summary.page_count").cast("long").alias("page_count"), g("$.summary.chunks_count").cast("long").alias("chunks_count"), g("$.structure.chapters[0].title").alias("first_chapter"), g("$.pages[0].regions[0].text").alias("first_text"))
 
 
 @over_model
 def toon_validate(m):
-    t = manifest.toon_payload(m.manifest, m.chapters, m.sections, m.chunks, m.ordered)
+    t = manifest.toon_header(m.manifest)
     return manifest.validate_toon(t, m.manifest.withColumn("chunks", F.col("chunks") + F.when(F.substring("document_id", 5, 1) < "8", 1).otherwise(0)))
 
 
@@ -512,7 +651,9 @@ def corpus_wer(spark, sf_dir):
 
 @query
 def zip_predictions(spark, sf_dir):
-    return recognition.character_errors(views.recognition(spark, sf_dir))
+    """References and predictions are two tables, zipped by position."""
+    r = views.recognition(spark, sf_dir).withColumn("position", F.substring("path", 6, 20).cast("long"))
+    return recognition.character_errors(recognition.zipped(r.select("position", "path", "ref"), r.where("position % 7 <> 0").select("position", "hyp")))
 
 
 @query
@@ -521,10 +662,18 @@ def ctc_collapse(spark, sf_dir):
     return d.select("sample", "text", "tokens", F.round("confidence", 3).alias("confidence"))
 
 
+@query
+def ctc_valid_lengths(spark, sf_dir):
+    """As ctc_collapse, with the time steps of each sample that its image's width gives."""
+    widths = views.logits(spark, sf_dir).select("sample").distinct().withColumn("width", F.col("sample") % 15 * 4 + 3)
+    d = recognition.greedy_decode(views.logits(spark, sf_dir), widths=widths)
+    return d.select("sample", "text", "tokens", F.round("confidence", 3).alias("confidence"))
+
+
 @query
 def mean_confidence(spark, sf_dir):
     b = views.blocks(spark, sf_dir).withColumn("confidence", F.when(F.col("ord") >= 0, (F.col("ord") % 100) / 100.0))
-    return recognition.mean_confidence(b.where("ord between 0 and 999"))
+    return recognition.mean_confidence(b)
 
 
 @query
@@ -573,10 +722,10 @@ def sort_words(spark, sf_dir):
 @query
 def html_regions(spark, sf_dir):
     """Regions of raw web pages by their tags: an alternative region source."""
-    tag = r"(?is)<(h1|p|li)[^>]*>(.*?)</"
+    tag = r"(?is)<(h1|p|li|footer)[^>]*>(.*?)</"
     h = views.read(spark, sf_dir, "pages")
     r = h.select("page_id", F.posexplode(F.arrays_zip(F.regexp_extract_all("html", F.lit(tag), 1).alias("tag"), F.regexp_extract_all("html", F.lit(tag), 2).alias("body"))).alias("i", "x"))
-    kind = F.when(F.lower("x.tag") == "h1", "HEADING").when(F.lower("x.tag") == "p", "BODY").otherwise("HEADER")
+    kind = F.when(F.lower("x.tag") == "h1", "HEADING").when(F.lower("x.tag") == "p", "BODY").when(F.lower("x.tag") == "footer", "FOOTER").otherwise("HEADER")
     return r.groupBy("page_id", kind.alias("type")).agg(F.count("*").alias("regions"), F.sum(F.length(F.col("x.body"))).alias("chars"))
 
 
@@ -649,6 +798,6 @@ def sink_json_entity(spark, sf_dir):
 @query
 def list_keys(spark, sf_dir):
     at = _folder(spark)
-    views.read(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("value")).coalesce(1).write.partitionBy("source").text(at)
+    views.read(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("value")).write.partitionBy("source").text(at)
     k = files.list_keys(spark, at).where("key like 'source=%'")
-    return k.select(F.regexp_extract("key", "^source=([^/]+)/", 1).alias("source")).groupBy("source").agg(F.count("*").alias("files"))
+    return k.select(F.regexp_extract("key", "^source=([^/]+)/", 1).alias("source")).distinct()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Callable, Iterator
 from posixpath import normpath
 
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from ..functions.text import strip
+
 PAGE = "page_id string, document_id string, page_number bigint, width double, height double, regions array<struct<region_id:string,type:string,text:string,bbox:array<double>,reading_order:bigint,confidence:double>>"
 MAX_BYTES = 250 << 20
 
@@ -42,9 +46,66 @@ def safe_key(base: str, key: str) -> str:
     return full
 
 
+class Store:
+    """Objects below a base folder of any store that Spark reaches, by key."""
+
+    def __init__(self, spark: SparkSession, base: str) -> None:
+        self.spark, self.base = spark, base.rstrip("/")
+        self._jvm = spark.sparkContext._jvm
+
+    def _at(self, key: str):
+        path = self._jvm.org.apache.hadoop.fs.Path(safe_key(self.base, key.lstrip("/\\")))
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def put(self, key: str, data: bytes) -> str:
+        """Writes beside the object and renames, so that a reader sees the old or the new one whole."""
+        path, fs = self._at(key)
+        fs.mkdirs(path.getParent())
+        part = path.suffix(f".{uuid.uuid4().hex}.part")
+        out = fs.create(part, True)
+        out.write(bytearray(data))
+        out.close()
+        fs.delete(path, False)
+        fs.rename(part, path)
+        return path.toString()
+
+    def put_json(self, key: str, value: object) -> str:
+        return self.put(key, json.dumps(value, indent=2, ensure_ascii=False).encode())
+
+    def get(self, key: str) -> bytes:
+        path, fs = self._at(key)
+        if not fs.exists(path):
+            raise FileNotFoundError(f"no object at {key}")
+        held = fs.open(path)
+        try:
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(held))
+        finally:
+            held.close()
+
+    def get_json(self, key: str) -> object:
+        return json.loads(self.get(key))
+
+    def exists(self, key: str) -> bool:
+        path, fs = self._at(key)
+        return fs.exists(path)
+
+    def delete(self, key: str) -> bool:
+        """Whether there was an object to delete; folders stay."""
+        path, fs = self._at(key)
+        return fs.exists(path) and fs.getFileStatus(path).isFile() and fs.delete(path, False)
+
+    def keys(self, prefix: str = "") -> DataFrame:
+        return list_keys(self.spark, self.base, prefix)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def upload_verdict(uploads: DataFrame) -> DataFrame:
     """filename, size, and the first admission rule that fails (null: admitted). Uploads: filename, size, head (first bytes, text), page_count (null: unreadable)."""
-    name = F.trim(F.coalesce("filename", F.lit("")))
+    name = strip(F.coalesce("filename", F.lit("")))
     reason = (
         F.when(name == "", "no_file")
         .when(~F.lower(name).endswith(".pdf"), "extension")
@@ -64,7 +125,7 @@ def read_manifest(spark: SparkSession, path: str, base: str = "") -> DataFrame:
 
 
 def parse_manifest(rows: DataFrame, base: str = "") -> DataFrame:
-    v = F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))
+    v = strip(F.col("value"))
     r = rows.select(F.split(v, "\t", 2).alias("p")).where((F.col("p")[0] != "") & ~F.col("p")[0].startswith("#"))
     return r.select(F.concat(F.lit(base.rstrip("/") + "/" if base else ""), F.col("p")[0]).alias("path"), F.coalesce(F.get("p", F.lit(1)), F.lit("")).alias("text"))
 
@@ -81,26 +142,61 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 def read_config(spark: SparkSession, path: str) -> dict:
     """A small YAML or JSON file."""
     text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
-    if path.endswith(".json"):
-        return json.loads(text)
-    try:
-        import yaml
-    except ImportError as e:
-        raise RuntimeError("YAML is not installed; use JSON") from e
-    return yaml.safe_load(text)
+    return json.loads(text) if path.endswith(".json") else parse_yaml(text)
+
+
+def _scalar(s: str) -> object:
+    s = s.strip()
+    if s[:1] in ("'", '"') and s[-1:] == s[:1] and len(s) > 1:
+        return s[1:-1]
+    if s.startswith("[") and s.endswith("]"):
+        return [_scalar(x) for x in s[1:-1].split(",") if x.strip()]
+    if s in ("", "~", "null"):
+        return None
+    if s in ("true", "false"):
+        return s == "true"
+    for kind in (int, float):
+        try:
+            return kind(s)
+        except ValueError:
+            continue
+    return s
+
+
+def parse_yaml(text: str) -> object:
+    """Maps, lists and scalars by indentation; comments on lines of their own or after a space."""
+    lines = [(len(x) - len(x.lstrip()), x.strip()) for x in (re.sub(r"(^|\s)#[^'\"]*$", "", line).rstrip() for line in text.split("\n")) if x.strip()]
+    at = 0
+
+    def block(indent: int) -> object:
+        nonlocal at
+        out: object = [] if lines[at][1].startswith("- ") or lines[at][1] == "-" else {}
+        while at < len(lines) and lines[at][0] == indent:
+            body = lines[at][1]
+            if isinstance(out, list):
+                out.append(_scalar(body[1:]))
+                at += 1
+                continue
+            key, _, value = body.partition(":")
+            at += 1
+            deeper = at < len(lines) and (lines[at][0] > indent or (lines[at][0] == indent and lines[at][1].startswith("- ")))
+            out[str(_scalar(key))] = block(lines[at][0]) if not value.strip() and deeper else _scalar(value)
+        return out
+
+    return block(lines[0][0]) if lines else None
 
 
 def read_vocabulary(spark: SparkSession, path: str, default: list[str]) -> list[str]:
-    try:
-        got = read_config(spark, path)
-    except Exception:  # noqa: BLE001  a missing file means the default
+    """The vocabulary of a file, or the default if there is no such file."""
+    if not exists(spark, path):
         return default
+    got = read_config(spark, path)
     return got["vocab"] if isinstance(got, dict) else got
 
 
 def synthetic_lines(spark: SparkSession, corpus: list[str], n: int, seed: int = 42, partial: float = 0.2) -> DataFrame:
     """n lines drawn from the corpus by a hash of the row; a share of them only part of a sentence's words."""
-    u = lambda k: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(k), F.col("id")), 11) * F.lit(2.0**-53)
+    u = lambda k: F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), F.lit(k), "id")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     sentence = F.get(F.lit(corpus), F.floor(u(1) * len(corpus)).cast("int"))
     d = spark.range(n).select("id", sentence.alias("s"), (u(2) < partial).alias("cut"), u(3).alias("a"), u(4).alias("b"))
     w = F.split("s", " ")
@@ -149,15 +245,21 @@ def append_errors(errors: DataFrame, path: str) -> None:
 def write_toon(toons: DataFrame, path: str, force: bool = False) -> None:
     """One payload a document, by document; documents already written are kept unless forced."""
     spark = toons.sparkSession
-    if not force:
-        try:
-            done = spark.read.text(path).select("document_id").distinct()
-            toons = toons.join(done, "document_id", "left_anti")
-        except Exception:  # noqa: BLE001  nothing written yet
-            pass
+    if not force and exists(spark, path):
+        toons = toons.join(spark.read.text(path).select("document_id").distinct(), "document_id", "left_anti")
     toons.select("document_id", F.col("toon").alias("value")).write.mode("overwrite" if force else "append").partitionBy("document_id").text(path)
 
 
+def write_reports(reports: DataFrame, path: str) -> None:
+    """Reports (document_id, name, content) as files, in a folder for each document and name."""
+    reports.select("document_id", "name", F.col("content").alias("value")).write.mode("overwrite").partitionBy("document_id", "name").text(path)
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    r = spark.read.text(path, wholetext=True)
+    return r.select("document_id", "name", F.regexp_replace("value", "\\n$", "").alias("content"))
+
+
 def overlay_pages(pages: DataFrame, chosen: tuple[int, ...] = (1, 50, 100, 200, 500)) -> DataFrame:
     """Pages worth a debug overlay: some fixed numbers, the first, middle and last."""
     s = pages.groupBy("document_id").agg(F.min("page_number").alias("a"), F.max("page_number").alias("b"), F.count("*").alias("n"), F.array_sort(F.collect_set("page_number")).alias("ps"))

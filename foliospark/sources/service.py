@@ -19,10 +19,8 @@ class Service:
     base: str
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).json(files.safe_key(self.base, name))
-        except Exception:  # noqa: BLE001  nothing written yet
-            return self.spark.createDataFrame([], schema)
+        at = files.safe_key(self.base, name)
+        return self.spark.read.schema(schema).json(at) if files.exists(self.spark, at) else self.spark.createDataFrame([], schema)
 
     def submit(self, uploads: DataFrame) -> DataFrame:
         """The verdict of each upload; admitted ones are queued."""

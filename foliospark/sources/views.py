@@ -8,9 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import starts
+from ..functions.text import starts, strip
 
 WIDTH, HEIGHT, LINES_PER_PAGE, PAGES_PER_CHAPTER = 612.0, 792.0, 60, 5
+DAMAGED = 1_000_000
+#: Characters of a line that a heading holds; the rest follows as body text.
+HEADING = 40
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,16 +27,25 @@ def book_id(source: str = "source"):
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, k (position), line: the trimmed lines that are not blank."""
     d = read(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("k", "raw"))
-    return d.select("doc_id", "source", F.col("k").cast("long").alias("k"), F.trim("raw").alias("line")).where("line <> ''")
+    return d.select("doc_id", "source", F.col("k").cast("long").alias("k"), strip(F.col("raw")).alias("line")).where("line <> ''")
 
 
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with their document_id, page_number and place on the page (kk)."""
-    sheet = F.floor(F.col("k") / LINES_PER_PAGE).cast("long")
-    ls = lines(spark, sf_dir).withColumn("sheet", sheet)
-    sheets = ls.select("source", "doc_id", "sheet").distinct()
-    numbered = sheets.withColumn("page_number", F.row_number().over(Window.partitionBy("source").orderBy("doc_id", "sheet")).cast("long")).drop("source")
-    return ls.join(numbered, ["doc_id", "sheet"]).select(book_id().alias("document_id"), "page_number", "doc_id", "source", "sheet", (F.col("k") % LINES_PER_PAGE).alias("kk"), "line")
+    """Lines with their document_id, page_number and place on the page (kk).
+
+    A document's pages follow those of the documents before it in its book. Only ids and page counts enter that window; texts meet their first page
+    number one row a document, before lines are made.
+    """
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", F.split("text", "\n").alias("raw"))
+    made = F.filter(F.transform("raw", lambda x, i: F.struct(i.cast("long").alias("k"), strip(x).alias("line"))), lambda x: x["line"] != "")
+    sheets = F.array_distinct(F.transform(made, lambda x: F.floor(x["k"] / LINES_PER_PAGE).cast("long")))
+    counts = d.select("source", "doc_id", F.size(sheets).alias("n")).where("n > 0")
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    first = counts.select("doc_id", F.coalesce(before, F.lit(0)).alias("before"))
+    d = d.join(first, "doc_id").select("doc_id", "source", "before", made.alias("lines")).withColumn("sheets", F.array_distinct(F.transform("lines", lambda x: F.floor(x["k"] / LINES_PER_PAGE).cast("long"))))
+    ls = d.select("doc_id", "source", "before", "sheets", F.inline("lines")).withColumn("sheet", F.floor(F.col("k") / LINES_PER_PAGE).cast("long"))
+    number = F.col("before") + F.array_position("sheets", F.col("sheet"))
+    return ls.select(book_id().alias("document_id"), number.cast("long").alias("page_number"), "doc_id", "source", "sheet", (F.col("k") % LINES_PER_PAGE).alias("kk"), "line")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,20 +54,22 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One page a document row, with empty and garbled texts at fixed ids."""
+    """One page a document row; at fixed ids also an empty or a garbled one, numbered from DAMAGED on."""
     d = read(spark, sf_dir, "documents")
-    text = F.when(F.col("doc_id") % 17 == 0, "").when(F.col("doc_id") % 13 == 0, F.concat(F.repeat(F.lit("�"), F.floor(F.col("n_chars") / 4).cast("int")), "text")).otherwise(F.col("text"))
     number = d.select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long").alias("page_number"))
-    return d.join(number, "doc_id").select(book_id().alias("document_id"), "page_number", "doc_id", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), text.alias("raw_text"), (F.col("doc_id") % 2).alias("image_count"))
+    d = d.join(number, "doc_id")
+    garbled = F.concat(F.repeat(F.lit("�"), F.floor(F.col("n_chars") / 4).cast("int")), "text")
+    bad = d.where("doc_id % 17 = 0 or doc_id % 13 = 0").withColumns({"text": F.when(F.col("doc_id") % 17 == 0, "").otherwise(garbled), "page_number": F.col("page_number") + DAMAGED})
+    return d.unionByName(bad).select(book_id().alias("document_id"), "page_number", "doc_id", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), F.col("text").alias("raw_text"), (F.col("doc_id") % 2).alias("image_count"))
 
 
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """document_id, page_number, doc_id, ord (detector order), text, avg_font_size, x0, y0, x1, y1."""
-    p = page_lines(spark, sf_dir)
+def blocks(spark: SparkSession, sf_dir: str, of_lines: DataFrame | None = None) -> DataFrame:
+    """document_id, page_number, doc_id, ord (detector order), text, avg_font_size, x0, y0, x1, y1. of_lines: page_lines, where they are at hand."""
+    p = of_lines if of_lines is not None else page_lines(spark, sf_dir)
     ch = (F.floor((F.col("page_number") - 1) / PAGES_PER_CHAPTER) + 1).cast("string")
     top = F.col("kk") == 0
     head, sub = top & ((F.col("page_number") - 1) % PAGES_PER_CHAPTER == 0), top & (F.col("page_number") % 2 == 0)
-    start = F.substring("line", 1, 40)
+    start = F.substring("line", 1, HEADING)
     text = F.when(head, F.concat(F.lit("Chapter "), ch, F.lit(": "), start)).when(sub, F.concat(ch, F.lit("."), F.col("page_number").cast("string"), F.lit(" "), start)).otherwise(F.col("line"))
     font = F.when(head, 18.0).when(sub, 14.0).otherwise(11.0)
     split = (F.col("doc_id") % 3 == 0) & ~(head | sub)
@@ -65,16 +79,20 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(split & ~even, 332.0).otherwise(72.0).alias("x0"), (72 + 10 * F.col("kk")).cast("double").alias("y0"),
         F.when(split & even, 280.0).otherwise(540.0).alias("x1"), (80 + 10 * F.col("kk")).cast("double").alias("y1"),
     )
+    rest = p.where((head | sub) & (F.length("line") > HEADING)).select(
+        "document_id", "page_number", "doc_id", F.lit(500).cast("long").alias("ord"), strip(F.expr(f"substring(line, {HEADING + 1})")).alias("text"), F.lit(11.0).alias("avg_font_size"),
+        F.lit(72.0).alias("x0"), F.lit(76.0).alias("y0"), F.lit(540.0).alias("x1"), F.lit(80.0).alias("y1"),
+    )
     of = p.select("document_id", "page_number", "doc_id").distinct()
     put = lambda o, t, x0, y0, x1, y1: of.select("document_id", "page_number", "doc_id", F.lit(o).cast("long").alias("ord"), t.alias("text"), F.lit(10.0).alias("avg_font_size"), *[F.lit(v).alias(n) for n, v in (("x0", x0), ("y0", y0), ("x1", x1), ("y1", y1))])
     header = put(-1, F.col("document_id"), 72.0, 30.0, 540.0, 40.0)
     number = put(1000, F.col("page_number").cast("string"), 540.0, 760.0, 560.0, 770.0)
-    return body.unionByName(header).unionByName(number)
+    return body.unionByName(rest).unionByName(header).unionByName(number)
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the blocks, 6 points a character, tops jittered within the line tolerance."""
-    b = blocks(spark, sf_dir).where("ord between 0 and 999")
+    b = blocks(spark, sf_dir)
     toks = F.split("text", " ")
     b = b.select("document_id", "page_number", "ord", "x0", "y0", toks.alias("text"))
     w = b.select("document_id", "page_number", "ord", "x0", "y0", F.posexplode(F.arrays_zip("text", starts(F.col("text")).alias("before"))).alias("i", "w")).select("document_id", "page_number", "ord", "x0", "y0", "i", "w.*")
@@ -84,14 +102,14 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w
 
 
-def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = page_lines(spark, sf_dir).select("document_id", "page_number", "doc_id").distinct().where("doc_id % 7 = 0")
+def tables(spark: SparkSession, sf_dir: str, of_lines: DataFrame | None = None) -> DataFrame:
+    p = (of_lines if of_lines is not None else page_lines(spark, sf_dir)).select("document_id", "page_number", "doc_id").distinct().where("doc_id % 7 = 0")
     data = F.array(F.array(F.lit("page"), F.col("page_number").cast("string")), F.expr("cast(array() as array<string>)"), F.array(F.lit(None).cast("string"), F.lit("end")))
     return p.select("document_id", "page_number", "doc_id", F.lit(72.0).alias("x0"), F.lit(300.0).alias("y0"), F.lit(540.0).alias("x1"), F.lit(360.0).alias("y1"), data.alias("data"))
 
 
-def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = page_lines(spark, sf_dir).select("document_id", "page_number", "doc_id").distinct().where("doc_id % 4 = 0")
+def images(spark: SparkSession, sf_dir: str, of_lines: DataFrame | None = None) -> DataFrame:
+    p = (of_lines if of_lines is not None else page_lines(spark, sf_dir)).select("document_id", "page_number", "doc_id").distinct().where("doc_id % 4 = 0")
     y = F.when(F.col("doc_id") % 8 == 0, 500.0).otherwise(310.0)
     return p.select("document_id", "page_number", "doc_id", F.lit(72.0).alias("x0"), y.alias("y0"), F.lit(272.0).alias("x1"), (y + 40.0).alias("y1"))
 

@@ -1,10 +1,13 @@
 """The fixed examples of the document model, with exact results."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import geometry, text
-from foliospark.operators import audit, chunk, layout, manifest, quality, recognition, structure
+from foliospark.operators import audit, chunk, digital, layout, manifest, quality, recognition, structure
+from foliospark.plans.model import Model
 from foliospark.sources import files
 
 P = "document_id string, page_number bigint, "
@@ -79,10 +82,10 @@ def test_no_chapters_falls_back_to_one(spark):
 def test_chunks_split_and_overlap(spark):
     words = " ".join(["w"] * 30)
     us = spark.createDataFrame([("d", "ch_001", 1, i, f"r{i:03d}", "ch_001_s001", words, 30) for i in (1, 2, 3)], "document_id string, chapter_id string, page_number bigint, reading_order bigint, region_id string, section_id string, text string, tokens bigint")
-    c = chunk.build_chunks(us, chunk.assign_chunks(us, 20, 50, 5)).orderBy("chunk_no")
+    c = chunk.build_chunks(chunk.assign_chunks(us, 20, 50, 5)).orderBy("chunk_no")
     # 30 + 30 > 50 closes with one unit (nothing carried) each time.
     assert rows(c, "chunk_id", "token_count", "section_id") == [(f"ch_001_chk_{i:04d}", 30, "ch_001_s001") for i in (1, 2, 3)]
-    c = chunk.build_chunks(us, chunk.assign_chunks(us, 20, 60, 5)).orderBy("chunk_no")
+    c = chunk.build_chunks(chunk.assign_chunks(us, 20, 60, 5)).orderBy("chunk_no")
     assert [(r["token_count"], list(r["source_regions"])) for r in c.collect()] == [(60, ["r001", "r002"]), (60, ["r002", "r003"])]
 
 
@@ -169,3 +172,57 @@ def test_one_bad_file_does_not_stop_the_rest(spark):
 def test_manifest_lines(spark):
     d = spark.createDataFrame([("a.png\thello\tx",), ("# no",), ("",), ("b.png",)], "value string")
     assert rows(files.parse_manifest(d, "/base")) == [("/base/a.png", "hello\tx"), ("/base/b.png", "")]
+
+
+def test_white_space_of_unicode_counts(spark):
+    blocks = spark.createDataFrame(
+        [("d", 1, 0, "\t\u2003\n", 11.0, 72.0, 200.0, 300.0, 212.0), ("d", 1, 1, "Page 3\t", 10.0, 72.0, 760.0, 300.0, 770.0), ("d", 1, 2, "\u00a0words\u3000here\u2009", 11.0, 72.0, 230.0, 300.0, 242.0)],
+        P + "ord bigint, text string, avg_font_size double, x0 double, y0 double, x1 double, y1 double",
+    )
+    assert dict(rows(layout.classify_blocks(blocks), "ord", "type")) == {1: "PAGE_NUMBER", 2: "BODY"}
+    t = blocks.where("ord = 2").select(text.strip(F.col("text")), text.token_count(F.col("text"))).first()
+    assert tuple(t) == ("words\u3000here", 2)
+    every = "".join(c for c in map(chr, range(0x110000)) if c.isspace())
+    assert sorted(every) == sorted(text.SPACES)
+
+
+def test_lines_open_at_their_first_word(spark):
+    ws = [(1, 10.0, 5.0, "b"), (2, 13.5, 1.0, "a"), (3, 13.6, 0.0, "c"), (4, 17.0, 9.0, "d"), (5, 17.2, 2.0, "e"), (6, 10.0, 7.0, "f")]
+    d = spark.createDataFrame([("d", 1, i, t, top, x, x + 1, top + 8, "Times", 11.0) for i, top, x, t in ws], P + "word_ordinal bigint, text string, top double, x0 double, x1 double, bottom double, fontname string, size double")
+    got = dict(rows(layout.cluster_lines(d), "word_ordinal", "line_no"))
+    assert got == {1: 1, 2: 1, 6: 1, 3: 2, 4: 2, 5: 3}
+    assert sorted(rows(layout.line_blocks(layout.cluster_lines(d)), "line_no", "text")) == [(1, "a b f"), (2, "c d"), (3, "e")]
+
+
+def test_digital_parts_are_put_inside_the_page(spark):
+    w = spark.createDataFrame([("d", 1, None, -3.0, 5.0, 120.0, 9.456, 0.0, 100.0, 50.0), ("d", 1, "x", 20.0, 60.0, 10.0, 40.0, 11.239, 100.0, 50.0)], P + "text string, x0 double, top double, x1 double, bottom double, size double, width double, height double")
+    assert rows(digital.page_words(w), "text", "x0", "top", "x1", "bottom", "size") == [("", 0.0, 5.0, 100.0, 9.46, None), ("x", 20.0, 50.0, 20.0, 50.0, 11.24)]
+
+
+def test_pages_from_content_by_route(spark):
+    good = "Mechanics of materials studies how solid bodies carry loads without failing. " * 4
+    pages = spark.createDataFrame([("d", 1, 612.0, 792.0, 0, good), ("d", 2, 612.0, 792.0, 1, "")], P + "width double, height double, image_count bigint, raw_text string")
+    words = spark.createDataFrame([("d", p, i, t, 100.0, 72.0 + 40 * i, 100.0 + 40 * i, 110.0, "Times", 11.0) for p in (1, 2) for i, t in enumerate(["two", "words"])], P + "word_ordinal bigint, text string, top double, x0 double, x1 double, bottom double, fontname string, size double")
+    boxes = spark.createDataFrame([("d", p, 20, 400, 200, 20) for p in (1, 2)], P + "x bigint, y bigint, w bigint, h bigint")
+    none = "document_id string, page_number bigint, doc_id bigint, x0 double, y0 double, x1 double, y1 double"
+    said = []
+    m = Model.from_content(pages, words, boxes, spark.createDataFrame([], none + ", data array<array<string>>"), spark.createDataFrame([], none), progress=lambda *a: said.append(a))
+    assert sorted(rows(m.ordered, "page_number", "text")) == [(1, "two words"), (2, "[Scanned text line 1]")]
+    assert m.chunks.count() == 1 and said[-1] == ("chunks", 5, 5) and len(said) == 5
+    assert m.labels.count() == 2
+
+
+def test_reports_say_what_was_found(spark):
+    r, pages = structure_pages(spark)
+    ch = structure.detect_chapters(r, pages).withColumn("number", F.lit(1))
+    s = structure.detect_sections(r, structure.detect_chapters(r, pages), pages).withColumn("section_id", F.lit("same"))
+    ks = spark.createDataFrame([("d", None, 1, "c1", 1, 1, 60), ("d", "ch_001", 2, "c2", 1, 9, 60)], "document_id string, chapter_id string, chunk_no bigint, chunk_id string, page_start bigint, page_end bigint, token_count bigint")
+    made = audit.details(pages, pages, r, ch, s, ks)
+    m = made.select("document_id", *[F.col(at).alias(n) for n, at in audit.METRICS.items()])
+    found = audit.messages(pages, pages, r, ch, s, ks)
+    assert "Duplicate chapter numbers found: ['1']" in [x[0] for x in rows(found, "message")]
+    files_ = dict(rows(audit.reports(made, audit.recommendations(m), found), "name", "content"))
+    assert set(files_) == {"structural_validation.json", "chapter_audit.json", "section_audit.json", "chunk_audit.json", "reading_order_audit.json", "structural_validation.md"}
+    md = files_["structural_validation.md"]
+    assert md.startswith("# Structural Validation Report — d\n\n## Structural Summary\n") and "- Duplicate Section IDs: 1\n" in md and "- **[WARNING]** Found 1 chunks without a parent chapter ID.\n" in md
+    assert json.loads(files_["chunk_audit.json"])["misaligned_chunks"] == 1

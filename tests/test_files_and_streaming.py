@@ -1,5 +1,6 @@
 """Round trips through files, and streaming ingestion."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliospark.operators import manifest
@@ -38,6 +39,21 @@ def test_store_listing_and_ids(spark, tmp_path):
     assert all(len(r["document_id"]) == 20 for r in files.content_ids(files.scan_files(spark, str(tmp_path))).collect())
 
 
+def test_object_store(spark, tmp_path):
+    s = files.Store(spark, str(tmp_path))
+    s.put("a/1.bin", b"\x00\xff old")
+    s.put("a/1.bin", b"\x00\xff")
+    s.put_json("/a/2.json", {"é": [1]})
+    assert s.get("a/1.bin") == b"\x00\xff" and s.get_json("a/2.json") == {"é": [1]}
+    assert (tmp_path / "a" / "2.json").read_text() == '{\n  "é": [\n    1\n  ]\n}'
+    assert [r[0] for r in s.keys("a/").collect()] == ["a/1.bin", "a/2.json"]
+    assert s.exists("a/1.bin") and s.delete("a/1.bin") and not s.exists("a/1.bin") and not s.delete("a/1.bin") and not s.delete("a")
+    with pytest.raises(FileNotFoundError):
+        s.get("a/1.bin")
+    with pytest.raises(ValueError):
+        s.put("../x", b"")
+
+
 def test_service(spark, tmp_path):
     s = Service(spark, str(tmp_path))
     asked = spark.createDataFrame([("a.pdf",), ("z.pdf",)], "document_id string")
@@ -57,6 +73,9 @@ def test_streaming_equals_batch(spark, tmp_path):
 
 
 def test_yaml_config(spark, tmp_path):
+    (tmp_path / "c.yaml").write_text("# top\na:\n  b: 1  # one\n  c: [x, 2.5]\n  d:\n  - 1\n  - two\ne: 'x # y'\nf: ~\ng:\n  h: true\n")
+    got = files.read_config(spark, str(tmp_path / "c.yaml"))
+    assert got["a"] == {"b": 1, "c": ["x", 2.5], "d": [1, "two"]} and got["f"] is None and got["g"] == {"h": True}
     (tmp_path / "c.json").write_text('{"vocab": ["<blank>", "a"]}')
     assert files.read_vocabulary(spark, str(tmp_path / "c.json"), []) == ["<blank>", "a"]
     assert files.read_vocabulary(spark, str(tmp_path / "none.json"), ["x"]) == ["x"]
