@@ -238,32 +238,33 @@ def _quoted(values: Column) -> Column:
     return _listed(F.transform(values, lambda v: F.concat(F.lit("'"), v.cast("string"), F.lit("'"))))
 
 
-def messages(documents: DataFrame, pages: DataFrame, regions: DataFrame, chapters: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:
-    """What a report says of each issue: document_id, category_no, position, severity, message. Values within a message ascend."""
+def messages(made: DataFrame, pages: DataFrame, chapters: DataFrame, sections: DataFrame) -> DataFrame:
+    """What a report says of each issue: document_id, category_no, position, severity, message. Values within a message ascend. made: details."""
 
     def say(df: DataFrame, no: int, severity: str, message: Column, position: Column | None = None) -> DataFrame:
         return df.select(D, F.lit(no).cast("long").alias("category_no"), (position if position is not None else F.lit(0)).cast("long").alias("position"), F.lit(severity).alias("severity"), message.alias("message"))
 
-    counted = lambda a, c, b: F.concat(F.lit(a), F.col(c).cast("string"), F.lit(b))
+    def count(no: int, severity: str, field: str, before: str, after: str, position: int = 0) -> DataFrame:
+        return say(made.where(F.col(field) > 0), no, severity, F.concat(F.lit(before), F.col(field).cast("string"), F.lit(after)), F.lit(position))
+
     gathered = lambda df, c: df.groupBy(D).agg(F.array_sort(F.collect_list(c)).alias("v"))
     twice = gathered(duplicate_ids(chapters.where("number <> 0"), "number"), F.col("number"))
     gaps = gathered(number_gaps(chapters), F.struct("number", "next_number"))
     pair = lambda v: F.concat(F.lit("("), v["number"].cast("string"), F.lit(", "), v["next_number"].cast("string"), F.lit(")"))
-    secs, parents = section_numbering(documents, chapters, sections), parent_child(documents, chapters, chunks)
     top = pages.groupBy(D).agg(F.max("page_number").alias("max_page"))
     bad = chapters.join(top, D, "left").where("page_start < 1 or page_end > coalesce(max_page, 0) or page_start > page_end")
     bounds = section_bounds(chapters, sections).where("status = 'INVALID'")
     range_ = F.concat(F.lit("Invalid chapter page range ["), F.concat_ws(", ", "page_start", "page_end"), F.lit("] for '"), F.col("title"), F.lit("'"))
     parts = [
-        say(heading_hierarchy(documents, regions, chapters).where("score < 1"), 1, "WARNING", F.lit("Chapters detected but zero HEADING regions classified on pages.")),
+        say(made.where("heading_hierarchy.score < 1"), 1, "WARNING", F.lit("Chapters detected but zero HEADING regions classified on pages.")),
         say(twice, 2, "WARNING", F.concat(F.lit("Duplicate chapter numbers found: "), _quoted(F.col("v")))),
         say(gaps, 2, "INFO", F.concat(F.lit("Chapter numbering has gaps: "), _listed(F.transform("v", pair))), F.lit(1)),
         say(gathered(duplicate_ids(sections, "section_id"), F.col("section_id")), 3, "WARNING", F.concat(F.lit("Duplicate section IDs found: "), _quoted(F.col("v")))),
-        say(secs.where("unrelated_prefix_count > 0"), 3, "INFO", counted("", "unrelated_prefix_count", " section numbers do not match parent chapter prefix"), F.lit(1)),
-        say(parents.where("orphan_chunks > 0"), 4, "WARNING", counted("Found ", "orphan_chunks", " chunks without a parent chapter ID.")),
-        say(parents.where("invalid_parent_refs > 0"), 4, "ERROR", counted("Found ", "invalid_parent_refs", " chunks referencing non-existent chapter IDs."), F.lit(1)),
+        count(3, "INFO", "section_numbering.unrelated_prefix_count", "", " section numbers do not match parent chapter prefix", 1),
+        count(4, "WARNING", "parent_child_integrity.orphan_chunks", "Found ", " chunks without a parent chapter ID."),
+        count(4, "ERROR", "parent_child_integrity.invalid_parent_refs", "Found ", " chunks referencing non-existent chapter IDs.", 1),
         say(bad, 5, "ERROR", range_, F.col("chapter_no")),
-        say(reading_order(documents, regions, "reading_order").where("duplicate_order_pages > 0"), 6, "INFO", counted("Duplicate reading order indices found on ", "duplicate_order_pages", " pages.")),
+        count(6, "INFO", "reading_order.duplicate_order_pages", "Duplicate reading order indices found on ", " pages."),
         say(bounds.groupBy(D).agg(F.count("*").alias("n")).select(D, F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("n")), 9, "INFO", F.lit(""), F.col("n")),
     ]
     out = parts[0]
@@ -272,10 +273,14 @@ def messages(documents: DataFrame, pages: DataFrame, regions: DataFrame, chapter
     return out
 
 
-def markdown(made: DataFrame, said: DataFrame, found: DataFrame) -> DataFrame:
-    """document_id and its report as Markdown. made: details; said: recommendations; found: messages."""
+def _assembled(made: DataFrame, said: DataFrame, found: DataFrame) -> DataFrame:
+    """made: details; said: recommendations; found: messages. One row a document, these in order as _r and _i."""
     recs = said.groupBy(D).agg(F.array_sort(F.collect_list(F.struct("position", "recommendation"))).alias("_r"))
     issues_ = found.groupBy(D).agg(F.array_sort(F.collect_list(F.struct("category_no", "position", "severity", "message"))).alias("_i"))
+    return made.join(recs, D, "left").join(issues_, D, "left")
+
+
+def _markdown() -> Column:
     score = lambda label, c: F.format_string(f"- **{label}**: %.2f", F.col(f"{c}.score").cast("double"))
     count = lambda label, c: F.concat(F.lit(f"- {label}: "), F.coalesce(F.col(c), F.lit(0)).cast("string"))
     part = lambda title: [F.lit(""), F.lit(f"## {title}")]
@@ -297,23 +302,22 @@ def markdown(made: DataFrame, said: DataFrame, found: DataFrame) -> DataFrame:
         *part("Detected Issues"), F.array_join(F.coalesce(listed, none), "\n"),
         *part("Recommendations"), F.array_join(F.transform("_r", lambda r: F.concat(F.lit("- "), r["recommendation"])), "\n"), F.lit(""),
     ]
-    return made.join(recs, D, "left").join(issues_, D, "left").select(D, F.array_join(F.array(*lines), "\n").alias("markdown"))
+    return F.array_join(F.array(*lines), "\n")
 
 
 def reports(made: DataFrame, said: DataFrame, found: DataFrame) -> DataFrame:
     """document_id, name, content: the five JSON reports of each document and the Markdown one."""
-    recs = said.groupBy(D).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "recommendation"))), lambda r: r["recommendation"]).alias("recommendations"))
-    issues_ = found.groupBy(D).agg(F.transform(F.array_sort(F.collect_list(F.struct("category_no", "position", "severity", "message"))), lambda i: F.struct(i["severity"].alias("severity"), i["message"].alias("message"))).alias("detected_issues"))
     categories = [c for c in made.columns if c != D]
-    rows = made.join(recs, D, "left").join(issues_, D, "left").join(markdown(made, said, found), D)
+    issues_ = F.transform("_i", lambda i: F.struct(i["severity"].alias("severity"), i["message"].alias("message")))
+    issues_ = F.coalesce(issues_, F.array().cast("array<struct<severity:string,message:string>>")).alias("detected_issues")
     scores = F.struct(*[F.col(at).alias(name) for name, at in METRICS.items()]).alias("metrics")
     files = {
-        "structural_validation.json": F.to_json(F.struct(D, scores, *categories, F.coalesce("detected_issues", F.array().cast("array<struct<severity:string,message:string>>")).alias("detected_issues"), "recommendations")),
+        "structural_validation.json": F.to_json(F.struct(D, scores, *categories, issues_, F.transform("_r", lambda r: r["recommendation"]).alias("recommendations"))),
         "chapter_audit.json": F.to_json(F.struct(F.col("chapter_numbering").alias("numbering"), "empty_chapters")),
         "section_audit.json": F.to_json(F.struct(F.col("section_numbering").alias("numbering"), "cross_boundary_sections")),
         "chunk_audit.json": F.to_json("chunk_alignment"),
         "reading_order_audit.json": F.to_json("reading_order"),
-        "structural_validation.md": F.col("markdown"),
+        "structural_validation.md": _markdown(),
     }
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("content")) for n, c in files.items()]))
-    return rows.select(D, each.alias("f")).select(D, "f.name", "f.content")
+    return _assembled(made, said, found).select(D, each.alias("f")).select(D, "f.name", "f.content")

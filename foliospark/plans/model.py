@@ -119,11 +119,19 @@ class Model:
     def _audited(self) -> tuple[DataFrame, ...]:
         return self.pages, self.pages, self.ordered, self.chapters, self.sections, self.chunks
 
+    @cached_property
+    def details(self) -> DataFrame:
+        return stage(audit.details(*self._audited))
+
+    @cached_property
+    def messages(self) -> DataFrame:
+        return audit.messages(self.details, self.pages, self.chapters, self.sections)
+
     @cached_property
     def reports(self) -> DataFrame:
-        made = stage(audit.details(*self._audited))
+        made = self.details
         m = made.select("document_id", *[F.col(at).alias(name) for name, at in audit.METRICS.items()])
-        return audit.reports(made, audit.recommendations(m), audit.messages(*self._audited))
+        return audit.reports(made, audit.recommendations(m), self.messages)
 
     @cached_property
     def audit(self) -> DataFrame:

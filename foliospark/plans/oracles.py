@@ -367,7 +367,7 @@ from (select *, row_number() over (partition by document_id, page_number, line_n
   from (select *, 30 - k * 9 as wx, k as wy, (y + k) % 9 as ww from (select *, unnest(range(4)) as k from olines_)) where ww > 4)""",
     "crnn_ocr_blocks": "select * from recog_",
     "crnn_ocr_pages": """
-select document_id, page_number, 'cnn_ocr' as method, round(round(avg(confidence), 4), 3) as confidence, md5(string_agg(text, chr(10) order by line_no)) as text_md5, count(*) as detected_regions from recog_ group by all
+select document_id, page_number, 'cnn_ocr' as method, floor(round(avg(confidence), 4) * 1000 + 0.000001::double) / 1000 as confidence, md5(string_agg(text, chr(10) order by line_no)) as text_md5, count(*) as detected_regions from recog_ group by all
 union all select 'none', 1, 'cnn_ocr', 1.0, md5(''), 0""",
     "scan_ocr_page": """
 select model, case when doc_id % 9 <> 0 then case when model then 'cnn_ocr' else 'baseline_ocr' end end as method, case when doc_id % 9 = 0 then 'an image array is expected, not str' end as error, count(*) as pages

@@ -225,7 +225,7 @@ def crnn_ocr_pages(spark, sf_dir):
     ls = _lines(spark, sf_dir)
     pages = ls.select(*P).distinct().unionByName(spark.createDataFrame([("none", 1)], "document_id string, page_number bigint"))
     o = ocr.ocr_pages(pages, ocr.recognised_blocks(ls, _predictions(ls), FX, FY), "cnn_ocr")
-    return o.select(*P, "method", F.round("confidence", 3).alias("confidence"), F.md5(F.encode("raw_text", "UTF-8")).alias("text_md5"), "detected_regions")
+    return o.select(*P, "method", (F.floor(F.col("confidence") * 1000 + 1e-6) / 1000).alias("confidence"), F.md5(F.encode("raw_text", "UTF-8")).alias("text_md5"), "detected_regions")
 
 
 @query
@@ -554,7 +554,7 @@ def top3_examples(m):
 
 @over_defects
 def audit_messages(m):
-    return audit.messages(m.pages, m.pages, m.ordered, m.chapters, m.sections, m.chunks)
+    return m.messages
 
 
 def _reports(m):

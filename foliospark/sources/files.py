@@ -257,7 +257,7 @@ def write_reports(reports: DataFrame, path: str) -> None:
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     r = spark.read.text(path, wholetext=True)
-    return r.select("document_id", "name", F.regexp_replace("value", "\\n$", "").alias("content"))
+    return r.select("document_id", "name", F.regexp_replace("value", r"\n\z", "").alias("content"))
 
 
 def overlay_pages(pages: DataFrame, chosen: tuple[int, ...] = (1, 50, 100, 200, 500)) -> DataFrame:

@@ -219,7 +219,7 @@ def test_reports_say_what_was_found(spark):
     ks = spark.createDataFrame([("d", None, 1, "c1", 1, 1, 60), ("d", "ch_001", 2, "c2", 1, 9, 60)], "document_id string, chapter_id string, chunk_no bigint, chunk_id string, page_start bigint, page_end bigint, token_count bigint")
     made = audit.details(pages, pages, r, ch, s, ks)
     m = made.select("document_id", *[F.col(at).alias(n) for n, at in audit.METRICS.items()])
-    found = audit.messages(pages, pages, r, ch, s, ks)
+    found = audit.messages(made, pages, ch, s)
     assert "Duplicate chapter numbers found: ['1']" in [x[0] for x in rows(found, "message")]
     files_ = dict(rows(audit.reports(made, audit.recommendations(m), found), "name", "content"))
     assert set(files_) == {"structural_validation.json", "chapter_audit.json", "section_audit.json", "chunk_audit.json", "reading_order_audit.json", "structural_validation.md"}
