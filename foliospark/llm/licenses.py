@@ -91,11 +91,14 @@ def _place(hits: Column, posts: list[tuple[str, int]]) -> Column:
     return F.aggregate(places, zero, step)
 
 
-def _stands(hits: Column, phrase: str, template: str, place: Column) -> Column:
-    """Whether the phrase stands within SLACK words of where the place of its template puts it."""
+def _stands(tokens: Column, lead: Column, phrase: str, template: str, place: Column) -> Column:
+    """Whether the phrase stands within SLACK words of where the place of its template puts it. tokens: as split, `lead` of them before the first word."""
     words, own = phrase.split(), template.split()
     at = next(i for i in range(len(own)) if own[i : i + len(words)] == words)
-    return F.exists(_next_words(hits, words), lambda p: F.abs(p - (place + at)) <= SLACK)
+    start = lambda i: place + lead + i
+    said = lambda i: F.translate(F.array_join(F.slice(tokens, start(i) + 1, len(words)), " "), UPPER, LOWER)
+    near = F.sequence(F.lit(at - SLACK), F.lit(at + SLACK))
+    return F.exists(near, lambda i: F.when(start(i) >= 0, said(i) == phrase).otherwise(False))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", need: float = 0.6) -> DataFrame:
@@ -104,17 +107,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", need:
     Long intermediate arrays stay inside one row; the hit array has only words of the licence vocabulary.
     """
     index = anchors()
-    vocabulary = sorted({w for posts in index.values() for w, _ in posts} | {w for _, keys in TEMPLATES.values() for k in keys for w in k.split()} | {w for p in PHRASES for w in p.split()})
+    vocabulary = sorted({w for posts in index.values() for w, _ in posts} | {w for p in PHRASES for w in p.split()})
     d = docs.select(F.col(id_col).alias("doc_id"), F.split(F.coalesce(F.col(text_col), F.lit("")), SEPARATOR).alias("_t"))
     lead = (F.col("_t")[0] == "").cast("int")
     trail = F.when(F.size("_t") > 1, (F.element_at("_t", -1) == "").cast("int")).otherwise(0)
     d = d.select("doc_id", "_t", lead.alias("_lead"), (F.size("_t") - lead - trail).cast("long").alias("n_words"))
     at = F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: F.lower(F.get(F.col("_t"), i)).isin(vocabulary))
-    d = d.select("doc_id", "n_words", F.transform(at, lambda i: F.struct((i - F.col("_lead")).alias("pos"), F.translate(F.get(F.col("_t"), i), UPPER, LOWER).alias("word"))).alias("_hits"))
-    d = d.select("doc_id", "n_words", F.filter("_hits", lambda x: x["word"].isin(vocabulary)).alias("_hits"))
+    d = d.select("doc_id", "n_words", "_t", "_lead", F.transform(at, lambda i: F.struct((i - F.col("_lead")).alias("pos"), F.translate(F.get(F.col("_t"), i), UPPER, LOWER).alias("word"))).alias("_hits"))
+    d = d.select("doc_id", "n_words", "_t", "_lead", F.filter("_hits", lambda x: x["word"].isin(vocabulary)).alias("_hits"))
 
     hits = F.col("_hits")
-    d = d.select("doc_id", "n_words", "_hits", *[_next_words(hits, p.split()).alias(f"_p{i}") for i, p in enumerate(PHRASES)], *[F.when(F.size(hits) > 1, _place(hits, posts)).alias(f"_v{i}") for i, posts in enumerate(index.values())])
+    d = d.select("doc_id", "n_words", "_t", "_lead", "_hits", *[_next_words(hits, p.split()).alias(f"_p{i}") for i, p in enumerate(PHRASES)], *[F.when(F.size(hits) > 1, _place(hits, posts)).alias(f"_v{i}") for i, posts in enumerate(index.values())])
     places = F.concat(*[F.col(f"_p{i}") for i in range(len(PHRASES))])
     found = [F.when(F.size(f"_p{i}") > 0, F.lit(label)) for i, label in enumerate(PHRASES.values())]
     shares, own = [], []
@@ -122,7 +125,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", need:
         n, v = len(index[label]), F.col(f"_v{i}")
         ok = v["best"] >= max(2, math.ceil(need * n))
         for k in keys:
-            ok = ok & _stands(hits, k, template, v["place"])
+            ok = ok & _stands(F.col("_t"), F.col("_lead"), k, template, v["place"])
         verified = F.when(ok, v["best"] / F.lit(float(n)))
         shares.append(verified)
         own.append(F.when(verified.isNotNull(), F.lit(label.split("/")[0])))
