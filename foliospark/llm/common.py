@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -76,6 +77,15 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the broadcasts and shuffle files of finished queries, which it does only after a collection of the driver's garbage.
+
+    Between the rounds of an operator of many queries: else the driver's heap grows to its limit first, and stays so large.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def uniform(*cols: Column | str) -> Column:
     """A number in (0, 1) that depends on the columns alone."""
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11) + F.lit(0.5)) * F.lit(2.0**-53)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions, sized
+from .common import Scratch, release, shuffle_partitions, sized
 from .components import components
 from .kernels import PLAIN, U, Words, map_texts, mix
 
@@ -43,6 +43,8 @@ CELL = 4096
 STRONG = 8
 #: From more likely members than this on, a component is checked as a whole; by blocks of SETS members.
 FEW, SETS = 4, 256
+#: Tables of a few longs a row are sent to all executors up to so many rows: several are in the driver's memory at once, each up to three times.
+BROADCAST_ROWS = 100_000
 _RNG = np.random.default_rng(606)
 _A = _RNG.integers(0, 2**63, HASHES + WIDE, dtype=np.uint64) * U(2) + U(1)
 _B = _RNG.integers(0, 2**63, HASHES + WIDE, dtype=np.uint64)
@@ -277,14 +279,15 @@ def _passing(pairs: DataFrame, sets: DataFrame, column: str, test) -> DataFrame:
     return pairs.join(held("b", "_y"), "b").join(held("a", "_x"), "a").select("a", "b", "_x", "_y").mapInArrow(_tested(test), "a long, b long")
 
 
-def groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 300_000) -> DataFrame:
+def groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable over links of similarity 0.8 or more), kept.
 
     Null and empty texts have no shingles, link with nothing and are kept. Rows of one id with different texts are nodes of their own that
     share the id. Null ids never name a component unless nothing else does; rows whose component has no id are kept.
-    broadcast_rows: tables of a few longs a row are sent to all executors up to so many rows; more are joined by shuffle.
+    broadcast_rows: tables of a few longs a row are sent to all executors up to so many rows (none: BROADCAST_ROWS); more are joined by shuffle.
     """
     spark = docs.sparkSession
+    broadcast_rows = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     with Scratch(spark) as kept, Scratch(spark, passing=True) as scratch:
         rows = kept.write(map_texts(docs, lambda t: sketch(t, words), "n long, cls binary, keys array<long>", id_col, text_col))
         classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.max("keys").alias("keys"))
@@ -305,7 +308,9 @@ def groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: st
             sets = scratch.write(_sets(docs, active, words, id_col, text_col, small))
             if sets.count() > n_active:  # rows of one id and text
                 sets = scratch.write(sets.dropDuplicates(["cid"]))
+            release(spark)
             merged = _merged(spark, scratch, kept, members, active, sets, small, broadcast_rows, n_active)
+    release(spark)
     by_class = classes.select("cls", "cid", "first_id")
     if merged is not None:
         mine = merged.join(by_class.select("cid", "first_id"), "cid")
@@ -321,13 +326,15 @@ def _merged(spark, scratch: Scratch, kept: Scratch, members: DataFrame, active:
     """cid and comp of the classes that have a link; None if no class has."""
     comp = tested = None
     parts = 4 * shuffle_partitions(spark)
+    large = not members.where(F.col("size") > CELL).isEmpty()
     for mode in ("star", "best", "all"):
         links = None
         if mode == "star":
             pairs = active.where(F.col("lead.c") >= STRONG).select((-F.col("lead.lo")).alias("a"), F.col("cid").alias("b"))
         else:
             signed = sets.select("cid", "n", "sig", *["pk"] * (mode == "all"))
-            seen = scratch.write(_candidates(scratch, members, signed, comp, mode, parts, small, broadcast_rows))
+            release(spark)
+            seen = scratch.write(_candidates(scratch, members, signed, comp, mode, parts, small, broadcast_rows, large))
             pairs = scratch.write(seen.where("not whole").select("a", "b").join(tested, ["a", "b"], "left_anti"))
             asks = seen.where("whole").select("a", "b").distinct()
             if comp is not None and not asks.isEmpty():
@@ -357,8 +364,8 @@ def _merged(spark, scratch: Scratch, kept: Scratch, members: DataFrame, active:
     return None if comp is None else kept.write(comp)
 
 
-def _candidates(scratch: Scratch, members: DataFrame, signed: DataFrame, comp: DataFrame | None, mode: str, parts: int, small, broadcast_rows: int) -> DataFrame:
-    """Distinct pairs (a < b), alike by signature and size, of classes that share a cell and are in different components."""
+def _candidates(scratch: Scratch, members: DataFrame, signed: DataFrame, comp: DataFrame | None, mode: str, parts: int, small, broadcast_rows: int, large: bool) -> DataFrame:
+    """Distinct pairs (a < b), alike by signature and size, of classes that share a cell and are in different components. large: some cell has over CELL members."""
     m = members
     if comp is None:
         m = m.withColumn("comp", F.col("cid"))
@@ -368,8 +375,9 @@ def _candidates(scratch: Scratch, members: DataFrame, signed: DataFrame, comp: D
         lead = m.join(of("lo", "_l"), "lo", "left").withColumn("_l", F.coalesce("_l", "lo"))
         open_ = scratch.write(lead.where("comp <> _l").select("key").distinct())  # a cell with a member outside its least member's component
         m = m.join(F.broadcast(open_) if open_.count() <= broadcast_rows else open_, "key")
-    plain = m.where(F.col("size") <= CELL).select(F.col("key").alias("cell"), "cid", "comp", F.lit(2).alias("half"), "t")
-    rows = plain.unionByName(_blocks(m.where(F.col("size") > CELL)))
+    rows = m.where(F.col("size") <= CELL).select(F.col("key").alias("cell"), "cid", "comp", F.lit(2).alias("half"), "t")
+    if large:  # written, as the blocks read them three times and would plan all of the joins above as often
+        rows = rows.unionByName(_blocks(scratch.write(m.where(F.col("size") > CELL))))
     rows = rows.join(signed, "cid").select("cell", "cid", "comp", "n", "half", "t", *[c for c in signed.columns if c not in ("cid", "n")])
     found = rows.repartition(parts, "cell").sortWithinPartitions("cell", "cid").mapInArrow(_cells(mode), "a long, b long, whole boolean")
     return found.distinct() if mode == "best" else found

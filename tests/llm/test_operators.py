@@ -406,6 +406,24 @@ def test_minhash_small_cells_give_the_same(spark, monkeypatch):
     assert {(r["doc_id"], r["component_id"]) for r in minhash.groups(d, 5, broadcast_rows=0).collect()} == want
 
 
+def test_minhash_plans_blocks_for_large_cells_only(spark, monkeypatch):
+    d, calls, blocks = docs(spark, near_copies(30)), [], minhash._blocks
+    monkeypatch.setattr(minhash, "_blocks", lambda large: calls.append(1) or blocks(large))
+    want = {(r["doc_id"], r["component_id"]) for r in minhash.groups(d, 5).collect()}
+    assert not calls
+    monkeypatch.setattr(minhash, "CELL", 8)
+    assert {(r["doc_id"], r["component_id"]) for r in minhash.groups(d, 5).collect()} == want and calls
+
+
+def test_minhash_sends_few_rows_to_all_executors(spark, monkeypatch):
+    d, sent, broadcast = docs(spark, near_copies(30)), [], minhash.F.broadcast
+    want = {(r["doc_id"], r["component_id"]) for r in minhash.groups(d, 5).collect()}
+    monkeypatch.setattr(minhash.F, "broadcast", lambda df: sent.append(df.count()) or broadcast(df))
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", 10)
+    assert {(r["doc_id"], r["component_id"]) for r in minhash.groups(d, 5).collect()} == want
+    assert all(n <= 10 for n in sent)
+
+
 def test_minhash_odd_rows(spark):
     got = minhash.groups(docs(spark, ODD, ids=[None, 1, 1, 2, 3, 4, 4, None, 6, 7, 8, 9]), 5).collect()
     assert len(got) == len(ODD) and all(r["kept"] is not None for r in got)
