@@ -9,8 +9,8 @@ from . import decontaminate, minhash, mixing, sharding, toxicity
 from .common import cut, table
 from .queries import MIX_MOST, MIX_SHARE, MIX_WEIGHTS, SHARDS, TOXIC_FOLD
 
-#: Row keys up to this many are sent to all executors (8 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+#: Row keys up to this many are sent to all executors; more are joined by shuffle. As a hashed table they take many times their 8 bytes in the driver.
+BROADCAST_IDS = 500_000
 
 
 def _renamed(docs: DataFrame) -> DataFrame:

@@ -110,3 +110,13 @@ def test_sharding_stage_keeps_documents(spark):
     assert Counter((r["doc_id"], r["text"], r["lang"], r["source"]) for r in out.collect()) == Counter((i, t, "en", "s") for i, t in ROWS)
     for _, g in out.toPandas().groupby("shard"):
         assert sorted(g["slot"]) == list(range(len(g)))
+
+
+def test_many_rejected_rows_are_not_sent_to_all_executors(spark, monkeypatch):
+    sent = []
+    monkeypatch.setattr(stages.F, "broadcast", lambda df: sent.append(1) or df)
+    docs = spark.createDataFrame([(i, t, "s") for i, t in ROWS], "doc_id bigint, text string, source string")
+    keyed = stages._keyed(docs)
+    rejected = spark.range(500_001).select(F.col("id").alias("_row")).unionByName(keyed.where("text is null").select("_row"))
+    got = Counter((r["doc_id"], r["text"]) for r in stages._without(keyed, rejected, docs).collect())
+    assert got == Counter((i, t) for i, t in ROWS if t is not None) and not sent
