@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import rounded
+
 #: Patterns of the document model.
 PAGE_NUMBER = r"(?i)^(?:page\s*)?(\d+|[ivxlcdm]+)(?:\s*(?:of|/|-)\s*\d+)?$"
 CAPTION = r"(?i)^(?:figure|fig\.|table|chart|diagram)\s*\d+[\.:]"
@@ -77,10 +79,10 @@ def quality_features(images: Column) -> dict[str, Column]:
     return {
         "text_character_count": n.cast("long"),
         "word_count": words.cast("long"),
-        "printable_ratio": F.when(some, F.round(printable, 3)).otherwise(0.0),
-        "whitespace_ratio": F.when(some, F.round(blank, 3)).otherwise(0.0),
-        "garbage_ratio": F.when(some, F.round(garbage, 3)).otherwise(1.0),
-        "text_quality_score": F.when(some, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(score, 3)))).otherwise(0.0),
+        "printable_ratio": F.when(some, rounded(printable, 3)).otherwise(0.0),
+        "whitespace_ratio": F.when(some, rounded(blank, 3)).otherwise(0.0),
+        "garbage_ratio": F.when(some, rounded(garbage, 3)).otherwise(1.0),
+        "text_quality_score": F.when(some, F.greatest(F.lit(0.0), F.least(F.lit(1.0), rounded(score, 3)))).otherwise(0.0),
     }
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..functions.text import strip
 
 D = "document_id"
@@ -13,7 +14,7 @@ OK_MESSAGE = "Document structure is internally consistent and verified."
 
 def _at_least_zero(c: Column, places: int | None = None) -> Column:
     c = F.greatest(F.lit(0.0), c)
-    return F.round(c, places) if places is not None else c
+    return rounded(c, places) if places is not None else c
 
 
 def _with_all(documents: DataFrame, *parts: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def section_numbering(documents: DataFrame, chapters: DataFrame, sections: DataF
     a = _with_all(documents, n, dup, odd)
     some = F.col("total_sections").isNotNull()
     score = F.lit(1.0) - F.when(_n("_dup") > 0, 0.15).otherwise(0.0) - F.when(_n("_odd") > 0, 0.10).otherwise(0.0)
-    return a.select(D, "total_sections", F.when(some, _n("_dup")).alias("duplicate_sections"), F.when(some, _n("_odd")).alias("unrelated_prefix_count"), F.round(score, 3).alias("score"))
+    return a.select(D, "total_sections", F.when(some, _n("_dup")).alias("duplicate_sections"), F.when(some, _n("_odd")).alias("unrelated_prefix_count"), rounded(score, 3).alias("score"))
 
 
 def orphans(chunks: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -95,7 +96,7 @@ def page_boundaries(documents: DataFrame, pages: DataFrame, chapters: DataFrame,
     v = rows.join(top, D, "left").groupBy(D).agg(F.count_if(bad).alias("boundary_violations"), F.count("*").alias("_n"))
     a = _with_all(documents, top, v)
     score = F.lit(1.0) - F.least(F.lit(1.0), _n("boundary_violations") / F.greatest(F.lit(1), _n("_n")))
-    return a.select(D, _n("boundary_violations").alias("boundary_violations"), _n("max_page").alias("max_page"), F.round(score, 3).alias("score"))
+    return a.select(D, _n("boundary_violations").alias("boundary_violations"), _n("max_page").alias("max_page"), rounded(score, 3).alias("score"))
 
 
 def reading_order(documents: DataFrame, regions: DataFrame, position: str = "region_no") -> DataFrame:
@@ -117,7 +118,7 @@ def duplicate_headings(documents: DataFrame, regions: DataFrame) -> DataFrame:
     n = F.col("occurrences")
     h = repeated_headings(regions).groupBy(D).agg(F.count("*").alias("_n"), F.count_if(n.between(2, 5)).alias("legitimate_duplicates"), F.count_if(n > 5).alias("likely_duplicate_errors"))
     a = _with_all(documents, h)
-    return a.select(D, F.round(_n("likely_duplicate_errors") / F.greatest(F.lit(1), _n("_n")), 4).alias("duplicate_rate"), _n("legitimate_duplicates").alias("legitimate_duplicates"), _n("likely_duplicate_errors").alias("likely_duplicate_errors"))
+    return a.select(D, rounded(_n("likely_duplicate_errors") / F.greatest(F.lit(1), _n("_n")), 4).alias("duplicate_rate"), _n("legitimate_duplicates").alias("legitimate_duplicates"), _n("likely_duplicate_errors").alias("likely_duplicate_errors"))
 
 
 def chapter_content(chapters: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -131,7 +132,7 @@ def chapter_content(chapters: DataFrame, chunks: DataFrame) -> DataFrame:
 def empty_chapters(documents: DataFrame, chapters: DataFrame, chunks: DataFrame) -> DataFrame:
     e = chapter_content(chapters, chunks).groupBy(D).agg(F.count("*").alias("_n"), F.count_if(F.col("classification") == "EMPTY").alias("empty_chapter_count"), F.count_if(F.col("classification") == "LOW_CONTENT").alias("low_content_chapters"))
     a = _with_all(documents, e)
-    return a.select(D, F.round(_n("empty_chapter_count") / F.greatest(F.lit(1), _n("_n")), 4).alias("empty_rate"), _n("empty_chapter_count").alias("empty_chapter_count"), _n("low_content_chapters").alias("low_content_chapters"))
+    return a.select(D, rounded(_n("empty_chapter_count") / F.greatest(F.lit(1), _n("_n")), 4).alias("empty_rate"), _n("empty_chapter_count").alias("empty_chapter_count"), _n("low_content_chapters").alias("low_content_chapters"))
 
 
 def section_bounds(chapters: DataFrame, sections: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import clamp_box
+from ..functions.numbers import rounded
 from ..functions.text import CAPTION, EQUATION, PAGE_NUMBER, starts, strip, table_text, tokens
 
 PAGE = ["document_id", "page_number"]
@@ -141,7 +142,7 @@ def word_boxes(lines: DataFrame) -> DataFrame:
     w = lines.select(*PAGE, "ord", "x0", "y0", "y1", unit.alias("unit"), toks.alias("word"))
     w = w.select(*PAGE, "ord", "x0", "y0", "y1", "unit", F.posexplode(F.arrays_zip("word", starts(F.col("word")).alias("at"))).alias("i", "w")).select(*PAGE, "ord", "x0", "y0", "y1", "unit", "i", "w.*")
     unit, at = F.col("unit"), F.col("at")
-    return w.where("word <> ''").select(*PAGE, "ord", F.col("i").cast("long").alias("i"), "word", F.round(F.col("x0") + unit * at, 2).alias("x0"), F.round(F.col("x0") + unit * (at + F.length("word")), 2).alias("x1"), "y0", "y1")
+    return w.where("word <> ''").select(*PAGE, "ord", F.col("i").cast("long").alias("i"), "word", rounded(F.col("x0") + unit * at, 2).alias("x0"), rounded(F.col("x0") + unit * (at + F.length("word")), 2).alias("x1"), "y0", "y1")
 
 
 def line_boxes(boxes: DataFrame, width: int, height: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
+
 D = "document_id"
 STATUSES = ("queued", "processing", "completed", "completed_with_errors", "failed")
 
@@ -35,7 +37,7 @@ def manifest(pages: DataFrame, failed: DataFrame, chapters: DataFrame, sections:
 
 
 def percent(done: Column, total: Column, places: int = 2) -> Column:
-    return F.when(total > 0, F.round(done / total * 100, places)).otherwise(0.0)
+    return F.when(total > 0, rounded(done / total * 100, places)).otherwise(0.0)
 
 
 def running_progress(pages: DataFrame) -> DataFrame:

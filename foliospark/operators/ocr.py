@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..functions.text import strip, tokens
 from .layout import PAGE
 
@@ -60,7 +61,7 @@ def recognised_blocks(lines: DataFrame, predictions: DataFrame, factor_x: float,
 def ocr_pages(pages: DataFrame, blocks: DataFrame, method: str) -> DataFrame:
     """Each page's method, mean confidence (1 without lines, where a recogniser looked) and text."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n")
-    mean = F.coalesce(F.round(F.avg("confidence"), 4), F.lit(UNKNOWN_CONFIDENCE)) if method == "cnn_ocr" else F.lit(BASELINE_CONFIDENCE)
+    mean = F.coalesce(rounded(F.avg("confidence"), 4), F.lit(UNKNOWN_CONFIDENCE)) if method == "cnn_ocr" else F.lit(BASELINE_CONFIDENCE)
     b = blocks.groupBy(*PAGE).agg(mean.alias("_c"), text.alias("_t"), F.count("*").alias("_n"))
     none = F.lit(1.0 if method == "cnn_ocr" else BASELINE_CONFIDENCE)
     return pages.select(*PAGE).join(b, PAGE, "left").select(*PAGE, F.lit(method).alias("method"), F.coalesce("_c", none).alias("confidence"), F.coalesce("_t", F.lit("")).alias("raw_text"), F.coalesce("_n", F.lit(0)).cast("long").alias("detected_regions"))

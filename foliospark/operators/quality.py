@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..functions.text import character_counts, quality_features
 
 ROUTES = ("DIGITAL_TEXT", "POOR_TEXT_LAYER", "SCANNED_OR_IMAGE_ONLY")
@@ -50,8 +51,8 @@ def profile(quality: DataFrame) -> DataFrame:
         F.count_if(F.col("route") == ROUTES[1]).alias("poor_text_pages"),
         F.count_if(F.col("route") == ROUTES[2]).alias("zero_text_pages"),
         F.count_if(F.col("image_count") > 0).alias("image_pages"),
-        F.round(F.sum("text_character_count") / n, 2).alias("average_chars_per_page"),
-        F.round(F.sum("word_count") / n, 2).alias("average_words_per_page"),
+        rounded(F.sum("text_character_count") / n, 2).alias("average_chars_per_page"),
+        rounded(F.sum("word_count") / n, 2).alias("average_words_per_page"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..functions.text import tokens
 
 #: The default vocabulary, the blank first.
@@ -41,14 +42,14 @@ def greedy_decode(steps: DataFrame, vocabulary: list[str] = VOCABULARY, blank: i
     before = F.lag("idx", 1, blank).over(Window.partitionBy("sample").orderBy("t"))
     s = s.withColumn("_keep", (F.col("idx") != blank) & (F.col("idx") != before))
     kept = F.array_sort(F.collect_list(F.when(F.col("_keep"), F.struct("t", "idx"))))
-    d = s.groupBy("sample").agg(kept.alias("k"), F.coalesce(F.round(F.avg(F.when(F.col("_keep"), F.col("p"))), 4), F.lit(0.0)).alias("confidence"))
+    d = s.groupBy("sample").agg(kept.alias("k"), F.coalesce(rounded(F.avg(F.when(F.col("_keep"), F.col("p"))), 4), F.lit(0.0)).alias("confidence"))
     letter = lambda x: F.coalesce(F.get(F.lit(vocabulary), x["idx"]), F.lit(""))
     return d.select("sample", F.array_join(F.transform("k", letter), "").alias("text"), "confidence", F.array_join(F.transform("k", lambda x: x["idx"].cast("string")), ",").alias("tokens"))
 
 
 def mean_confidence(lines: DataFrame) -> DataFrame:
     """A page's confidence: the mean of its lines', 0.90 without any."""
-    return lines.groupBy("document_id", "page_number").agg(F.coalesce(F.round(F.avg("confidence"), 4), F.lit(0.90)).alias("confidence"))
+    return lines.groupBy("document_id", "page_number").agg(F.coalesce(rounded(F.avg("confidence"), 4), F.lit(0.90)).alias("confidence"))
 
 
 def token_distance(a: Column, b: Column) -> Column:
@@ -67,7 +68,7 @@ def error_rates(pairs: DataFrame) -> DataFrame:
     """Corpus character and word error rates: all edits over all reference length, 5 places. Texts are not stripped."""
     ref, hyp = tokens(F.col("ref")), tokens(F.col("hyp"))
     p = pairs.select(F.levenshtein("ref", "hyp").alias("ce"), F.length("ref").alias("cl"), token_distance(ref, hyp).alias("we"), F.size(ref).alias("wl"))
-    return p.agg(F.count("*").alias("samples"), F.round(F.sum("ce") / F.greatest(F.lit(1), F.sum("cl")), 5).alias("cer"), F.round(F.sum("we") / F.greatest(F.lit(1), F.sum("wl")), 5).alias("wer"))
+    return p.agg(F.count("*").alias("samples"), rounded(F.sum("ce") / F.greatest(F.lit(1), F.sum("cl")), 5).alias("cer"), rounded(F.sum("we") / F.greatest(F.lit(1), F.sum("wl")), 5).alias("wer"))
 
 
 def character_errors(pairs: DataFrame) -> DataFrame:
