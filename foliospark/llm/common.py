@@ -48,6 +48,15 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return (df if rows is None else sized(df, rows)).checkpoint()
 
 
+def matched(df: DataFrame, rows: int | None = None, most: int = 0) -> DataFrame:
+    """df as a side of a join: sent to all executors if its rows were counted to be `most` at most, else joined by shuffle.
+
+    The planner left alone sends what it sizes below spark.sql.autoBroadcastJoinThreshold, and it sizes from compressed files, keeps the size through
+    an explode, and keeps a planned broadcast when the true size is known: the driver then builds a table of many times that.
+    """
+    return F.broadcast(df) if rows is not None and rows <= most else df.hint("merge")
+
+
 class Scratch:
     """Tables written below the checkpoint folder. On leaving, those of a passing one are removed; the others are read by a result that is yet to run."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sized
+from .common import ROWS, cut, matched, sized
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,12 +18,12 @@ def components(edges: DataFrame) -> DataFrame:
     def large(e: DataFrame, n: int) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        return sized(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), 2 * n).distinct()
+        return sized(both.join(matched(least, 2 * n, ROWS), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), 2 * n).distinct()
 
     def small(e: DataFrame, n: int) -> DataFrame:
         down = sized(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b"), n)
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        out = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        out = down.join(matched(least, n, ROWS), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         return sized(out.where("a <> b"), 2 * n).distinct()
 
     def mark(e: DataFrame) -> tuple:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, release, shuffle_partitions, sized
+from .common import Scratch, matched, release, shuffle_partitions, sized
 from .components import components
 from .kernels import PLAIN, U, Words, map_texts, mix
 
@@ -263,7 +263,7 @@ def _against_components(asks: DataFrame, comp: DataFrame, sets: DataFrame, parts
     """
     asked = asks.groupBy("b").agg(F.ceil(F.count("*") / SETS).cast("int").alias("n_odd"))
     size = comp.groupBy("comp").agg(F.ceil(F.count("*") / SETS).cast("int").alias("n_main")).select(F.col("comp").alias("b"), "n_main")
-    shape = small(asked.join(size, "b"))
+    shape = small(asked.join(small(size), "b"))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     cell = lambda i, j: F.xxhash64("b", i, j)
     mine = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
@@ -297,14 +297,14 @@ def groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: st
         cells = F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: F.xxhash64(a, b))))
         bands = classes.select("cid", F.posexplode(cells).alias("t", "key")).select("cid", F.col("t").cast("short").alias("t"), F.xxhash64("t", "key").alias("key"))
         shared = bands.groupBy("key").agg(F.min("cid").alias("lo"), F.count("*").alias("size")).where("size > 1")
-        members = scratch.write(bands.join(shared, "key"))
+        members = scratch.write(bands.join(matched(shared), "key"))
         lead = F.max(F.when(F.col("lo") != F.col("cid"), F.struct("c", (-F.col("lo")).alias("lo")))).alias("lead")
-        active = members.groupBy("cid", "lo").agg(F.count("*").alias("c")).groupBy("cid").agg(lead).join(classes.select("cid", "cls", "first_id"), "cid")
+        active = members.groupBy("cid", "lo").agg(F.count("*").alias("c")).groupBy("cid").agg(lead).join(matched(classes.select("cid", "cls", "first_id")), "cid")
         active = scratch.write(active)
         n_active = active.count()
         merged = None
         if n_active:
-            small = lambda df: F.broadcast(df) if n_active <= broadcast_rows else df
+            small = lambda df: matched(df, n_active, broadcast_rows)
             sets = scratch.write(_sets(docs, active, words, id_col, text_col, small))
             if sets.count() > n_active:  # rows of one id and text
                 sets = scratch.write(sets.dropDuplicates(["cid"]))
@@ -313,7 +313,7 @@ def groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: st
     release(spark)
     by_class = classes.select("cls", "cid", "first_id")
     if merged is not None:
-        mine = merged.join(by_class.select("cid", "first_id"), "cid")
+        mine = by_class.select("cid", "first_id").join(small(merged), "cid")
         least = mine.groupBy("comp").agg(F.min("first_id").alias("_least"))
         named = mine.join(least, "comp").select("cid", "_least")
         by_class = by_class.join(named, "cid", "left").withColumn("first_id", F.coalesce("_least", "first_id"))
@@ -374,11 +374,11 @@ def _candidates(scratch: Scratch, members: DataFrame, signed: DataFrame, comp: D
         m = m.join(of("cid", "_c"), "cid", "left").withColumn("comp", F.coalesce("_c", "cid")).drop("_c")
         lead = m.join(of("lo", "_l"), "lo", "left").withColumn("_l", F.coalesce("_l", "lo"))
         open_ = scratch.write(lead.where("comp <> _l").select("key").distinct())  # a cell with a member outside its least member's component
-        m = m.join(F.broadcast(open_) if open_.count() <= broadcast_rows else open_, "key")
+        m = m.join(matched(open_, open_.count(), broadcast_rows), "key")
     rows = m.where(F.col("size") <= CELL).select(F.col("key").alias("cell"), "cid", "comp", F.lit(2).alias("half"), "t")
     if large:  # written, as the blocks read them three times and would plan all of the joins above as often
         rows = rows.unionByName(_blocks(scratch.write(m.where(F.col("size") > CELL))))
-    rows = rows.join(signed, "cid").select("cell", "cid", "comp", "n", "half", "t", *[c for c in signed.columns if c not in ("cid", "n")])
+    rows = rows.join(matched(signed), "cid").select("cell", "cid", "comp", "n", "half", "t", *[c for c in signed.columns if c not in ("cid", "n")])
     found = rows.repartition(parts, "cell").sortWithinPartitions("cell", "cid").mapInArrow(_cells(mode), "a long, b long, whole boolean")
     return found.distinct() if mode == "best" else found
 
