@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, minhash, mixing, sharding, toxicity
-from .common import cut, table
+from .common import cut, matched, table
 from .queries import MIX_MOST, MIX_SHARE, MIX_WEIGHTS, SHARDS, TOXIC_FOLD
 
 #: Row keys up to this many are sent to all executors; more are joined by shuffle. As a hashed table they take many times their 8 bytes in the driver.
@@ -31,7 +31,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _without(keyed: DataFrame, rejected: DataFrame, docs: DataFrame) -> DataFrame:
     """docs without the rows whose _row is rejected."""
     rows = cut(rejected.select("_row").distinct())
-    return _restored(keyed.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, "_row", "left_anti"), docs)
+    return _restored(keyed.join(matched(rows, rows.count(), BROADCAST_IDS), "_row", "left_anti"), docs)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
