@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.geometry import clamp_box
 from ..functions.numbers import rounded
@@ -14,31 +19,71 @@ FURNITURE = ("HEADER", "FOOTER", "PAGE_NUMBER")
 LINE_TOLERANCE = 3.5
 
 
-def cluster_lines(words: DataFrame, tolerance: float = LINE_TOLERANCE) -> DataFrame:
-    """Words with the number of their visual line: sorted by (top, x0), a word opens a line unless it is within tolerance of the line's first word.
+def gathered(words: DataFrame) -> DataFrame:
+    """One row a page: its words."""
+    return words.groupBy(*PAGE).agg(F.collect_list(F.struct(*[c for c in words.columns if c not in PAGE])).alias("words"))
+
 
-    As tops ascend, a word's line follows from its top alone: the fold runs over a page's distinct tops, and words look theirs up. Words are
-    gathered once by page (which bounds them), so there is no join.
+def cluster_pages(pages: DataFrame, tolerance: float = LINE_TOLERANCE) -> DataFrame:
+    """Pages with the number of its visual line in each of their words: sorted by (top, x0), a word opens a line unless it is within tolerance of the line's first word.
+
+    As tops ascend, a word's line follows from its top alone: the fold runs over a page's distinct tops (in Arrow), and words look theirs up. A page's
+    words stay in its row, which bounds them.
     """
-    own = [c for c in words.columns if c not in PAGE]
-    w = words.groupBy(*PAGE).agg(F.collect_list(F.struct(*own)).alias("_ws"), F.array_sort(F.collect_set("top")).alias("_tops"))
-    start = F.expr("cast(named_struct('anchor', -1e9D, 'lines', cast(array() as array<int>)) as struct<anchor:double,lines:array<int>>)")
 
-    def step(acc: Column, top: Column) -> Column:
-        new = (top - acc["anchor"]) > tolerance
-        line = F.coalesce(F.get(acc["lines"], F.size(acc["lines"]) - 1), F.lit(0)) + new.cast("int")
-        return F.struct(F.when(new, top).otherwise(acc["anchor"]).alias("anchor"), F.concat(acc["lines"], F.array(line)).alias("lines"))
+    def lines(tops: pa.Array) -> pa.Array:
+        values, offsets = tops.values, tops.offsets.to_numpy()
+        top, number = values.to_numpy(zero_copy_only=False), np.zeros(len(values), np.int32)
+        for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            distinct, of = np.unique(top[lo:hi], return_inverse=True)
+            anchor, n, at = -1e9, 0, []
+            for t in distinct.tolist():
+                if t - anchor > tolerance:
+                    anchor, n = t, n + 1
+                at.append(n)
+            number[lo:hi] = np.array(at, np.int32)[of]
+        return pa.ListArray.from_arrays(tops.offsets, pa.array(number, mask=values.is_null().to_numpy(zero_copy_only=False)))
+
+    fields = pages.schema["words"].dataType.elementType.names
+    made = F.arrow_udf(lines, ArrayType(IntegerType()))(F.transform("words", lambda x: x["top"].cast("double")))
+    word = lambda x: F.struct(*[x["w"][c].alias(c) for c in fields], x["n"].alias("line_no"))
+    return pages.select(*PAGE, "words", made.alias("_no")).select(*PAGE, F.transform(F.arrays_zip(F.col("words").alias("w"), F.col("_no").alias("n")), word).alias("words"))
+
+
+def cluster_lines(words: DataFrame, tolerance: float = LINE_TOLERANCE) -> DataFrame:
+    """cluster_pages for words that come one a row."""
+    return cluster_pages(gathered(words), tolerance).select(*PAGE, F.inline("words"))
+
+
+def _line_block(lines: DataFrame) -> DataFrame:
+    """One block a line (PAGE, line_no, ws: its words, sorted by x0, top, word_ordinal): words joined by x0, outer box, mean of the sizes that are set (else 10), the first word's font."""
+    of = lambda c: F.transform("ws", lambda x: x[c])
+    sized = F.filter(of("size"), lambda v: v > 0)
+    mean = F.when(F.size(sized) > 0, F.aggregate(sized, F.lit(0.0), lambda a, v: a + v) / F.size(sized)).otherwise(10.0)
+    return lines.select(
+        *PAGE, "line_no", F.array_join(of("text"), " ").alias("text"), F.round(F.array_min(of("x0")), 2).alias("x0"), F.round(F.array_min(of("top")), 2).alias("y0"), F.round(F.array_max(of("x1")), 2).alias("x1"), F.round(F.array_max(of("bottom")), 2).alias("y1"),
+        F.round(mean, 2).alias("avg_font_size"), F.get("ws", F.lit(0))["fontname"].alias("fontname"), F.size("ws").cast("long").alias("word_count"),
+    )
+
 
-    w = w.select(*PAGE, "_ws", "_tops", F.aggregate("_tops", start, step)["lines"].alias("_lines"))
-    line = lambda x: F.get(F.col("_lines"), (F.array_position(F.col("_tops"), x["top"]) - 1).cast("int"))
-    return w.select(*PAGE, F.inline(F.transform("_ws", lambda x: F.struct(*[x[c].alias(c) for c in own], line(x).alias("line_no")))))
+def _of_line(x: Callable[[str], Column]) -> list[Column]:
+    """A word's fields for _line_block, those of its order first."""
+    return [x("x0").alias("x0"), x("top").alias("top"), x("word_ordinal").alias("word_ordinal"), x("text").alias("text"), F.coalesce(x("fontname"), F.lit("Unknown")).alias("fontname"), x("x1").alias("x1"), x("bottom").alias("bottom"), x("size").cast("double").alias("size")]
 
 
 def line_blocks(words: DataFrame) -> DataFrame:
-    """One block a line: words joined by x0, outer box, mean of the sizes that are set (else 10), the first word's font."""
-    ws = F.array_sort(F.collect_list(F.struct("x0", "top", "word_ordinal", "text", F.coalesce("fontname", F.lit("Unknown")).alias("fontname"))))
-    b = words.groupBy(*PAGE, "line_no").agg(ws.alias("ws"), F.min("x0").alias("x0"), F.min("top").alias("y0"), F.max("x1").alias("x1"), F.max("bottom").alias("y1"), F.coalesce(F.avg(F.when(F.col("size") > 0, F.col("size"))), F.lit(10.0)).alias("avg_font_size"), F.count("*").alias("word_count"))
-    return b.select(*PAGE, "line_no", F.array_join(F.transform("ws", lambda x: x["text"]), " ").alias("text"), *[F.round(c, 2).alias(c) for c in ("x0", "y0", "x1", "y1")], F.round("avg_font_size", 2).alias("avg_font_size"), F.col("ws")[0]["fontname"].alias("fontname"), "word_count")
+    """The blocks of words that come one a row, with line_no."""
+    return _line_block(words.groupBy(*PAGE, "line_no").agg(F.sort_array(F.collect_list(F.struct(*_of_line(F.col)))).alias("ws")))
+
+
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """The blocks of pages from cluster_pages: words are sorted by line, and each line is a slice of them."""
+    p = pages.select(*PAGE, F.sort_array(F.transform("words", lambda x: F.struct(x["line_no"].alias("line_no"), *_of_line(lambda c: x[c])))).alias("_w"))
+    p = p.select(*PAGE, "_w", F.transform("_w", lambda x: x["line_no"]).alias("_no"))
+    firsts = F.transform(F.sequence(F.lit(1), F.element_at("_no", -1)), lambda n: F.array_position("_no", n).cast("int"))
+    p = p.where(F.size("_no") > 0).select(*PAGE, "_w", firsts.alias("_at"))
+    end = lambda i: F.coalesce(F.get("_at", i + 1), F.size("_w") + 1)
+    return _line_block(p.select(*PAGE, F.inline(F.transform("_at", lambda a, i: F.struct((i + 1).alias("line_no"), F.slice("_w", a, end(i) - a).alias("ws"))))))
 
 
 def _upper_median(sizes: Column) -> Column:

@@ -63,8 +63,8 @@ class Model:
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str, **kw) -> Model:
-        lines = stage(views.page_lines(spark, sf_dir))
-        return cls(views.blocks(spark, sf_dir, lines), views.tables(spark, sf_dir, lines), views.images(spark, sf_dir, lines), **kw)
+        sheets = stage(views.sheets(spark, sf_dir))
+        return cls(views.blocks(spark, sf_dir, sheets), views.tables(spark, sf_dir, sheets), views.images(spark, sf_dir, sheets), **kw)
 
     @classmethod
     def from_content(cls, pages: DataFrame, words: DataFrame, boxes: DataFrame, tables: DataFrame, images: DataFrame, steps: Steps | None = None, factor: tuple[float, float] = (1.0, 1.0), **kw) -> Model:

@@ -15,3 +15,24 @@ def test_a_loss_just_below_a_half_is_rounded_down_as_in_sql(spark, tmp_path):
     assert rows(QUERIES["training_history"](spark, str(tmp_path)).where("run = 3"), "epoch", "loss") == [(4999, 0.0001)]
     halves = spark.createDataFrame([(2.5,), (-2.5,), (0.125,), (None,)], "x double")
     assert rows(halves, numbers.rounded(F.col("x"), 0), numbers.rounded(F.col("x"), 2)) == [(3.0, 2.5), (-3.0, -2.5), (0.0, 0.13), (None, None)]
+
+
+def test_a_page_of_words_gives_the_lines_of_its_words(spark):
+    from foliospark.operators import layout
+    from foliospark.sources import views
+
+    sf = "/root/testdata/sf0.001"
+    pages, words = layout.cluster_pages(views.page_words(spark, sf)), layout.cluster_lines(views.words(spark, sf))
+    key = lambda df: df.groupBy(*layout.PAGE).agg(F.sum(F.xxhash64("word_ordinal", "line_no", "x0", "text").cast("decimal(38,0)")).alias("s"))
+    assert key(pages.select(*layout.PAGE, F.inline("words"))).exceptAll(key(words)).count() == 0
+    assert layout.page_blocks(pages).exceptAll(layout.line_blocks(words)).count() == 0
+
+
+def test_words_are_placed_and_clustered_without_a_shuffle_of_words(spark):
+    for name in ("cluster_lines", "block_agg", "sort_words", "scan_digital_page", "approx_word_boxes"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation") == 2 and "_lambda" not in plan and "collect_list" not in plan, name  # documents for texts and for page counts
+    toks = spark.createDataFrame([(["ab", "", "c"],), ([],), (None,)], "t array<string>")
+    from foliospark.functions.text import starts
+
+    assert rows(toks.select(F.coalesce(starts(F.col("t")), F.array().cast("array<int>")))) == [([0, 3, 4],), ([],), ([],)]
