@@ -36,3 +36,23 @@ def test_words_are_placed_and_clustered_without_a_shuffle_of_words(spark):
     from foliospark.functions.text import starts
 
     assert rows(toks.select(F.coalesce(starts(F.col("t")), F.array().cast("array<int>")))) == [([0, 3, 4],), ([],), ([],)]
+
+
+def written(path):
+    return {d.name.split("=")[1]: "\n".join(f.read_text().rstrip("\n") for f in sorted(d.glob("part-*"))) for d in path.glob("document_id=*")}
+
+
+def test_a_payload_is_written_by_lines_of_a_page_at_most(spark, tmp_path):
+    import json
+
+    from foliospark.plans.model import Model
+    from foliospark.sources import files
+
+    m = Model.of(spark, "/root/testdata/sf0.001")
+    files.write_toon_lines(m.payload_lines, f"{tmp_path}/t")
+    files.write_toon_lines(m.payload_lines.withColumn("line", F.lit("x")), f"{tmp_path}/t")  # kept: already written
+    whole = {r["document_id"]: json.loads(r["toon"]) for r in m.payloads.collect()}
+    got = written(tmp_path / "t")
+    assert {d: json.loads(t) for d, t in got.items()} == whole
+    pages = m.pages.count()
+    assert sum(line.lstrip(",").startswith('{"page_number":') for t in got.values() for line in t.split("\n")) == pages
