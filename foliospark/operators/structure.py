@@ -90,11 +90,11 @@ def source_pages(pages: DataFrame, chapters: DataFrame) -> DataFrame:
 
 
 def section_candidates(regions: DataFrame, chapters: DataFrame, pages: DataFrame) -> DataFrame:
-    ls = region_lines(regions).join(pages_in_chapters(pages, chapters), ["document_id", "page_number"])
     numeric = F.col("line").rlike(SECTION)
+    plain = (F.col("type") == "SUBHEADING") & (token_count(F.col("line")) < 10)
+    ls = region_lines(regions).where(numeric | plain).join(pages_in_chapters(pages, chapters), ["document_id", "page_number"])  # only candidates meet their chapter
     number = F.regexp_replace(F.regexp_extract("line", SECTION, 1), r"\s+", "")
     own = number.startswith(F.concat(F.col("number").cast("string"), F.lit("."))) | (F.col("n_chapters") == 1)
-    plain = (F.col("type") == "SUBHEADING") & (token_count(F.col("line")) < 10)
     return ls.where(F.when(numeric, own).otherwise(plain)).select("document_id", "chapter_id", "chapter_no", "page_number", "reading_order", "line_no", F.col("line").alias("title"), F.col("page_end").alias("chapter_end"))
 
 

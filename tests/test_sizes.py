@@ -70,3 +70,21 @@ def test_chunks_are_written_to_few_files(spark, tmp_path):
     assert len(list((tmp_path / "k").rglob("part-*"))) <= 2 * 4
     plan = QUERIES["sink_chunks_jsonl"](spark, "/root/testdata/sf0.001")
     assert len(plan.inputFiles()) <= 20 * 4
+
+
+def test_audits_read_no_text_of_chunks(spark):
+    plan = QUERIES["anti_orphan_chunks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan
+    sorts = [line for line in plan.split("\n") if "Exchange hashpartitioning(document_id" in line or "Project [" in line and "_i" in line]
+    assert sorts and not any("text#" in line for line in sorts)
+
+
+def test_only_candidates_meet_their_chapter(spark):
+    from foliospark.operators import structure
+
+    r = spark.createDataFrame([("d", 1, 1, "BODY", "1.1 One"), ("d", 1, 2, "BODY", "plain"), ("d", 1, 3, "SUBHEADING", "Two")], "document_id string, page_number bigint, reading_order bigint, type string, text string")
+    pages = r.select("document_id", "page_number").distinct()
+    got = structure.section_candidates(r, structure.detect_chapters(r, pages), pages)
+    assert sorted(rows(got, "title")) == [("1.1 One",), ("Two",)]
+    joins = got._jdf.queryExecution().optimizedPlan().toString().split("Join")[1:]
+    assert "RLIKE" in joins[0]  # below the join
