@@ -37,7 +37,9 @@ def tokens(c: Column) -> Column:
 
 
 def token_count(c: Column) -> Column:
-    return F.size(tokens(c)).cast("long")
+    """How many tokens there are. Between the ends no part of a split is empty; F.regexp_count takes several times as long."""
+    inner = strip(c)
+    return F.when(inner == "", 0).otherwise(F.size(F.split(inner, f"[{SPACE_KIND}]+"))).cast("long")
 
 
 def document_id(content: Column) -> Column:
@@ -61,7 +63,7 @@ def character_counts(text: Column) -> dict[str, Column]:
         "_unprintable": left(r"\x20-\x7E\t\n\r\x0B\x0C"),
         "_ungarbled": left(r"\x00-\x08\x0B\x0C\x0E-\x1F\uFFFD"),
         "_solid": left(SPACE_KIND),
-        "_words": F.regexp_count(text, F.lit(f"[^{SPACE_KIND}]+")),
+        "_words": token_count(text),
     }
 
 

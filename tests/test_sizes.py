@@ -88,3 +88,13 @@ def test_only_candidates_meet_their_chapter(spark):
     assert sorted(rows(got, "title")) == [("1.1 One",), ("Two",)]
     joins = got._jdf.queryExecution().optimizedPlan().toString().split("Join")[1:]
     assert "RLIKE" in joins[0]  # below the join
+
+
+def test_tokens_are_counted_without_regexp_count(spark):
+    from foliospark.functions import text
+
+    t = spark.createDataFrame([(" a  b\tc ",), ("",), (" \n",), (None,), ("one",)], "t string")
+    count = t.select(text.token_count(F.col("t")).alias("n"), F.size(text.tokens(F.col("t"))).alias("m"))
+    assert [(r["n"], r["m"]) for r in count.collect()][:3] == [(3, 3), (0, 0), (0, 0)] and all(r["n"] == r["m"] for r in count.collect())
+    plan = QUERIES["extraction_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_count" not in plan and "regexp_extract_all" not in plan
